@@ -148,6 +148,28 @@ ANALYSES: dict[str, Query] = {
     "feature_selection": _query(lambda t: occupancy.select_features(_train_days(t)), digits=3),
 }
 
+# Small grids: the full ones (``occupancy.MODELS``) are 33 points × 5 folds × 2 branches.
+SMALL_MODELS = {
+    "linear_regression": occupancy.MODELS["linear_regression"],
+    "ridge": occupancy.with_grid("ridge", alpha=(0.1, 10.0)),
+    "elastic_net": occupancy.with_grid("elastic_net", alpha=(0.1,), l1_ratio=(0.5,)),
+    "random_forest": occupancy.with_grid("random_forest", trees=(10,), depth=(5,), min_leaf=(1,)),
+    "gradient_boosting": occupancy.with_grid("gradient_boosting", trees=(5,), rate=(0.1,), depth=(3,)),
+}
+LINEAR_MODELS = {name: SMALL_MODELS[name] for name in ("linear_regression", "ridge")}
+
+
+# Spark ML fits, pooled over all properties: no SQL counterpart.
+ANALYSES |= {
+    "pca_components": _query(occupancy.pca_components),
+    "model_grid": _query(lambda t: occupancy.fit_occupancy(t, models=SMALL_MODELS).results),
+    "best_model": _query(
+        lambda t: occupancy.best_model(
+            occupancy.fit_occupancy(t, models=LINEAR_MODELS, reference_compatible=True).results
+        )
+    ),
+}
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: lead-time statistics per guest segment."""

@@ -135,17 +135,17 @@ def guests() -> Column:
 # -- random ------------------------------------------------------------------------------------------------
 
 
-def keyed_normal(seed: int, name: str, *keys: ColumnLike) -> Column:
-    """Standard normal noise as a pure function of (seed, name, keys).
+def keyed_normal(seed: int, name: str, *keys: str) -> str:
+    """SQL text of standard normal noise that is a pure function of (seed, name, keys).
 
     Unlike ``randn`` it does not depend on how the rows are partitioned, so a task that is run again after
     the loss of an executor gives the same numbers.
     """
-    def uniform(tag: str) -> Column:
-        bits = F.xxhash64(F.lit(seed), F.lit(name), F.lit(tag), *[_c(k) for k in keys])
-        return (F.shiftrightunsigned(bits, 11).cast("double") + 0.5) / float(1 << 53)
+    def uniform(tag: str) -> str:
+        bits = f"shiftrightunsigned(xxhash64({seed}, '{name}', '{tag}', {', '.join(keys)}), 11)"
+        return f"((CAST({bits} AS DOUBLE) + 0.5D) / {float(1 << 53)!r}D)"
 
-    return F.sqrt(-2 * F.log(uniform("radius"))) * F.cos(2 * pi * uniform("angle"))
+    return f"(sqrt(-2 * ln({uniform('radius')})) * cos(2 * pi() * {uniform('angle')}))"
 
 
 # -- report formatting -------------------------------------------------------------------------------------

@@ -85,37 +85,37 @@ def with_noisy_twins(rows: DataFrame, seed: int, noise: float = NOISE) -> DataFr
     """Each row followed by a twin (``copy`` 1) with normal noise on every column, target included."""
     doubled = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     shaken = [
-        F.when(F.col("copy") == 0, F.col(c).cast("double"))
-        .otherwise(F.col(c).cast("double") + noise * keyed_normal(seed, c, "hotel_id", "date"))
-        .alias(c)
+        f"CAST({c} AS DOUBLE) + CASE WHEN copy = 0 THEN 0D ELSE {noise}D * {keyed_normal(seed, c, 'hotel_id', 'date')} END AS {c}"
         for c in (TARGET, *FEATURES)
     ]
-    return doubled.select("hotel_id", "date", "copy", *shaken)
+    return doubled.selectExpr("hotel_id", "date", "copy", *shaken)
 
 
 def scaling_statistics(rows: DataFrame, by: tuple[str, ...] = ("hotel_id",)) -> DataFrame:
     """Mean and population standard deviation of every scaled feature; nulls are skipped, zero spread counts 1."""
-    spread = {f: F.stddev_pop(f) for f in SCALED}
     return rows.groupBy(*by).agg(
-        *[F.avg(f).alias(f"{f}__mean") for f in SCALED],
-        *[F.when(spread[f] == 0, 1.0).otherwise(spread[f]).alias(f"{f}__std") for f in SCALED],
+        *[F.expr(f"avg({f}) AS {f}__mean") for f in SCALED],
+        *[F.expr(f"if(stddev_pop({f}) = 0, 1D, stddev_pop({f})) AS {f}__std") for f in SCALED],
     )
 
 
 def standardised(rows: DataFrame, statistics: DataFrame, by: tuple[str, ...] = ("hotel_id",)) -> DataFrame:
     """Scale the features of each property by its own statistics (one row per property, joined back)."""
     joined = equi_join(rows, statistics, by)
-    scaled = {f: (F.col(f) - F.col(f"{f}__mean")) / F.col(f"{f}__std") for f in SCALED}
-    return joined.withColumns(scaled).select(*rows.columns)
+    scaled = {f: f"({f} - {f}__mean) / {f}__std AS {f}" for f in SCALED}
+    return joined.selectExpr(*[scaled.get(c, c) for c in rows.columns])
 
 
 def scaled_features(t: HotelTables, seed: int | None = None) -> DataFrame:
-    """Standardised daily features; with a ``seed`` each day has its noisy twin.  Scaled first, then rows with
-    a missing value are dropped."""
-    rows = daily_features(t)
-    if seed is not None:
-        rows = with_noisy_twins(rows, seed)
-    return standardised(rows, scaling_statistics(rows)).na.drop("any")
+    """Standardised daily features of complete days; with a ``seed`` each day has its noisy twin.
+
+    The statistics are those of all days, incomplete ones included.
+    """
+    days = daily_features(t)
+    complete = days.na.drop("any")
+    if seed is None:
+        return standardised(complete, scaling_statistics(days))
+    return standardised(with_noisy_twins(complete, seed), scaling_statistics(with_noisy_twins(days, seed)))
 
 
 # -- chronological numbering -------------------------------------------------------------------------------
