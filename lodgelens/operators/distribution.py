@@ -41,7 +41,7 @@ def weighted_stddev(value: str, weight: str = "n") -> Column:
     total, squares, linear = F.sum(n), F.sum(n * (x * x)), F.sum(n * x)
     spread = (squares.cast("double") * total.cast("double") - linear.cast("double") * linear.cast("double"))
     rows = total.cast("double")
-    return F.sqrt(F.greatest(F.try_divide(spread, rows * (rows - 1)), F.lit(0.0)))
+    return F.sqrt(F.try_divide(F.greatest(spread, F.lit(0.0)), rows * (rows - 1)))
 
 
 def summarise(histogram: DataFrame, by: Sequence[str], value: str, weight: str = "n") -> DataFrame:

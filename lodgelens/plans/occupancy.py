@@ -65,15 +65,17 @@ def regression_scores(
 
     ``r² / (1 − r²) × (n − 2)``; a constant feature has no correlation and gets no row.
     """
+    # corr() raises on a constant feature in ANSI mode; this form gives NULL.
+    r = "try_divide(covar_pop({f}, {y}), stddev_pop({f}) * stddev_pop({y})) AS {f}"
     correlations = train.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.corr(F.col(f).cast("double"), F.col(label)).alias(f) for f in features]
+        F.count(F.lit(1)).alias("_n"), *[F.expr(r.format(f=f, y=label)) for f in features]
     )
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("_r")) for f in features])
     square = F.col("_r") * F.col("_r")
     score = F.coalesce(F.try_divide(square, 1 - square) * (F.col("_n") - 2), F.lit(float("inf")))
     return (
         correlations.select(*by, "_n", F.inline(pairs))
-        .where(F.col("_r").isNotNull() & ~F.isnan("_r"))
+        .where(F.col("_r").isNotNull())
         .select(*by, "feature", score.alias("f_score"))
     )
 
