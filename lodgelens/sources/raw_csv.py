@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from lodgelens.functions.columns import utm_parts
-from lodgelens.schema import REQUIRED_KINDS, SPARK_TYPE, TABLES, UTM_SPLIT
+from lodgelens.schema import REQUIRED_KINDS, SPARK_TYPE, TABLE_NAMES, TABLES, UTM_SPLIT
 from lodgelens.tables import HotelTables
 
 # Texts that stand for a missing value in a raw file.
@@ -146,6 +146,16 @@ def load_hotel(
     return HotelTables(open_table)
 
 
+def validate(tables: HotelTables) -> dict[str, int]:
+    """Read every typed column of every table once, so that a bad or missing integer fails now and not in a later
+    query that happens to use the column.  Returns the row counts."""
+    counts = {}
+    for name in TABLE_NAMES:
+        touched = [F.count(c).alias(c) for c in TABLES[name]]
+        counts[name] = tables[name].agg(F.count(F.lit(1)).alias("_rows"), *touched).first()["_rows"]
+    return counts
+
+
 def load_hotels(spark: SparkSession, folders: Mapping[int, str], **options: object) -> HotelTables:
     """Clean tables of several properties, one under the other.
 
