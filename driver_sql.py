@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lodgelens.plans.daily import FEATURES, LAGS, SCALED, SERIES, WINDOWS
 from lodgelens.schema import CURRENCIES, PPC_PAIRS, PPC_SOURCES, SEGMENTS, TABLE_NAMES
-from lodgelens.sources.sample_views import with_views
+from lodgelens.sources.sample_views import VIEW_COLUMNS, with_views
 
 _IN_CURRENCIES = "currency in (" + ", ".join(f"'{c}'" for c in CURRENCIES) + ")"
 _PAIRS = ", ".join(f"'{p}'" for p in PPC_PAIRS)
@@ -187,7 +187,7 @@ def _moving() -> str:
                 parts.append(f"round(stddev_samp({column}) {frame}, 6) as fill_rate_std{w}")
         for k in LAGS:
             lagged = f"lag({column}, {k}) over (partition by hotel_id order by date)"
-            parts.append(f"{f'round({lagged}, 6)' if short == 'fill_rate' else lagged} as {short}_lag{k}")
+            parts.append(f"round(cast({lagged} as double), 6) as {short}_lag{k}")
     return ",\n       ".join(parts)
 
 
@@ -257,8 +257,6 @@ where rank <= 20"""
 
 
 def _quality() -> str:
-    from lodgelens.sources.sample_views import VIEW_COLUMNS
-
     parts = []
     for table in TABLE_NAMES:
         columns = [c for c in VIEW_COLUMNS[table] if c != "hotel_id"]
@@ -277,6 +275,21 @@ def _row_counts() -> str:
     )
 
 
+def _profile() -> str:
+    """Types as DuckDB sees them, written in Spark's words."""
+    parts = []
+    for table in TABLE_NAMES:
+        for i, column in enumerate(VIEW_COLUMNS[table], start=1):
+            parts.append(
+                f"select '{table}' as table_name, {i} as position, '{column}' as column_name, "
+                f"typeof(any_value({column})) as t, count(*) as row_count from {table}"
+            )
+    return f"""with described as ({" union all ".join(parts)})
+select table_name, position, column_name,
+       case t when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz'
+              else lower(t) end as data_type, row_count from described"""
+
+
 _UPSELL_WIDE = ", ".join(f"cast(sum(case when segment = '{s}' then 1 else 0 end) as bigint) as {s}" for s in SEGMENTS)
 _PPC_WIDE = ", ".join(
     f"cast(sum(case when utm_source = '{s}' then 1 else 0 end) as bigint) as {s}_bookings, "
@@ -510,6 +523,7 @@ from (select hotel_id, count(*) as searches, round(avg(nights), 6) as avg_nights
 full join (select hotel_id, count(*) as bookings from booking_data group by hotel_id) b on b.hotel_id = s.hotel_id
 full join (select hotel_id, round(avg(fill_rate), 6) as avg_fill_rate from daily_occupancy group by hotel_id) o
   on o.hotel_id = s.hotel_id""",
+    "profile_tables": _profile(),
     "row_counts": _row_counts(),
     "data_quality": _quality(),
     "daily_features": f"with {_SERIES} {_features(True)}",
@@ -549,5 +563,25 @@ from folds where i < n - (4 - fold) * size group by all""",
 }
 
 
+# Columns shown the same way by both engines: days and times as text, ranks as 32-bit numbers.
+_AS_TEXT = {
+    "ppc_daily_traffic": ("date",),
+    "ppc_daily_spend": ("date",),
+    "price_diff_series": ("utc_datetime",),
+    "daily_features": ("date",),
+    "scaled_features": ("date",),
+    "daily_metrics": ("date",),
+    "chronological_split": ("date",),
+    "ts_folds": ("first_date", "last_date"),
+}
+_RANKED = ("segment_top3", "top_campaigns", "top_bookers", "price_diff_top5", "feature_selection")
+
+
+def _shown(name: str, text: str) -> str:
+    columns = [f"cast({c} as varchar) as {c}" for c in _AS_TEXT.get(name, ())]
+    columns += ["cast(rank as int) as rank"] if name in _RANKED else []
+    return f"select * replace ({', '.join(columns)}) from ({text})" if columns else text
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(text) for name, text in _TEXTS.items()}
+    return {name: _shown(name, with_views(text)) for name, text in _TEXTS.items()}

@@ -66,7 +66,7 @@ def daily_features(t: HotelTables, include_current: bool = True) -> DataFrame:
             if column == TARGET:
                 moving[f"{short}_std{w}"] = F.stddev_samp(column).over(frame)
         for k in LAGS:
-            moving[f"{short}_lag{k}"] = F.lag(column, k).over(days)
+            moving[f"{short}_lag{k}"] = F.lag(column, k).over(days).cast("double")
 
     plain = {
         "is_weekend": is_weekend("date"),

@@ -28,6 +28,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int = 128 << 20) -> int:
+    """Let shuffles start with enough partitions for ``shuffled_bytes``; adaptive execution merges what is small.
+
+    The default of 200 is far too low for terabytes: one partition has to fit into a task's memory or it spills.
+    """
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shuffled_bytes // partition_bytes))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    return partitions
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (

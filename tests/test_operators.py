@@ -90,11 +90,6 @@ def test_box_hides_outliers(spark):
     assert (box["whisker_low"], box["whisker_high"]) == (1, 8)
 
 
-def test_frequency_table(spark):
-    df = spark.createDataFrame([(1, 0), (1, 0), (1, 2), (1, 5)], "g int, v int")
-    assert as_dict(distribution.frequency_table(df, ["g"], "v"), ["v"], "share_pct") == {(0,): 50, (2,): 25, (5,): 25}
-
-
 def test_histogram_equals_numpy(spark):
     rng = np.random.default_rng(5)
     values = rng.normal(size=400)

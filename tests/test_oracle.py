@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from conftest import TESTDATA
 from oracle_check import differences, duck
 
-NO_SQL = {"pca_components", "model_grid", "best_model"}
+NO_SQL = {"augmented_features", "model_report", "pca_components", "model_grid", "best_model"}
 SQL = entry.oracle_sql()
 
 
