@@ -40,9 +40,9 @@ def add_open_share(cells: DataFrame, value: str, within: Names, name: str = "sha
 
 
 def drop_zero_columns(cells: DataFrame, column_keys: Names, value: str) -> DataFrame:
-    """Remove the columns of a cross table whose values add up to zero."""
-    kept = cells.groupBy(*column_keys).agg(F.sum(value).alias("_sum")).where(F.col("_sum") != 0)
-    return equi_join(cells, kept.drop("_sum"), column_keys)
+    """Remove the columns of a cross table whose values add up to zero; a window sees one column's cells."""
+    whole = F.sum(value).over(Window.partitionBy(*column_keys))
+    return cells.withColumn("_whole", whole).where(F.col("_whole") != 0).drop("_whole")
 
 
 def spread(
@@ -84,14 +84,18 @@ def distinct_sorted(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct().orderBy(*columns)
 
 
-def top_k(df: DataFrame, by: Names, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows of each group.  ``order`` must be total, i.e. end in a key.
+def top_k(
+    df: DataFrame, by: Names, order: Sequence[Column], k: int, rank: str = "rank", dense: bool = False
+) -> DataFrame:
+    """First ``k`` rows of each group; with ``dense`` all rows of the first ``k`` distinct order values.
 
-    The rank filter is pushed below the exchange by Spark (window group limit): each task sends at most ``k``
-    rows of a group, however large that group is.
+    ``order`` must be total, i.e. end in a key (of the row, or with ``dense`` of the thing ranked).  The rank
+    filter is pushed below the exchange by Spark (window group limit), so each task sends only its own first
+    ``k``, however large the group is.
     """
     window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    position = F.dense_rank() if dense else F.row_number()
+    return df.withColumn(rank, position.over(window)).where(F.col(rank) <= k)
 
 
 def equi_join(left: DataFrame, right: DataFrame, keys: Names, how: str = "inner") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.functions.columns import ratio
@@ -65,14 +65,20 @@ def quartiles(histogram: DataFrame, by: Sequence[str], value: str, weight: str =
 
 
 def box_statistics(histogram: DataFrame, by: Sequence[str], value: str, weight: str = "n") -> DataFrame:
-    """The numbers of a box plot without outliers: quartiles and the outermost values within reach."""
-    box = quartiles(histogram, by, value, weight)
+    """The numbers of a box plot without outliers: quartiles and the outermost values within reach.
+
+    The quartiles are set beside the group's values by a window over the value counts, so the counts are
+    exchanged once and not joined to themselves.
+    """
+    group = Window.partitionBy(*by)
+    marks = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
+    beside = histogram.withColumns({name: quantile(value, q, weight).over(group) for name, q in marks.items()})
     iqr = F.col("p75") - F.col("p25")
     inside = F.col(value).between(F.col("p25") - WHISKER_REACH * iqr, F.col("p75") + WHISKER_REACH * iqr)
-    within = equi_join(histogram, box, by)
-    return within.groupBy(*by, "p25", "p50", "p75").agg(
-        F.least(F.min(F.when(inside, F.col(value))).cast("double"), F.col("p25")).alias("whisker_low"),
-        F.greatest(F.max(F.when(inside, F.col(value))).cast("double"), F.col("p75")).alias("whisker_high"),
+    return beside.groupBy(*by).agg(
+        *[F.first(name).alias(name) for name in marks],
+        F.least(F.min(F.when(inside, F.col(value))).cast("double"), F.first("p25")).alias("whisker_low"),
+        F.greatest(F.max(F.when(inside, F.col(value))).cast("double"), F.first("p75")).alias("whisker_high"),
     )
 
 

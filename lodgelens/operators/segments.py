@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.columns import segment_label
@@ -26,7 +26,12 @@ def toddler_searches(t: HotelTables) -> DataFrame:
 
 
 def with_segment(searches: DataFrame, t: HotelTables) -> DataFrame:
-    """Add the guest segment to search rows; needs ``id``, ``adults`` and ``children``."""
+    """Add the guest segment to search rows; needs ``id``, ``adults`` and ``children``.
+
+    Rows that carry a segment already (see :func:`with_stored_segment`) are returned as they are.
+    """
+    if "segment" in searches.columns:
+        return searches
     flags = toddler_searches(t).select("hotel_id", F.col("search_log_id").alias("id"), F.lit(True).alias("_toddler"))
     return (
         searches.join(flags, ["hotel_id", "id"], "left")
@@ -35,14 +40,32 @@ def with_segment(searches: DataFrame, t: HotelTables) -> DataFrame:
     )
 
 
+def with_stored_segment(t: HotelTables) -> HotelTables:
+    """The same tables with the segment as a column of the search log.
+
+    Persist that table, or write the set with ``store.write_store``, and every later analysis skips the joins to
+    rooms and children.
+    """
+    return t.replaced(search_log=with_segment(t.search_log, t))
+
+
+def picked(searches: DataFrame, *columns: str | Column) -> DataFrame:
+    """The listed columns, and the stored segment where there is one."""
+    return searches.select(*columns, *(["segment"] if "segment" in searches.columns else []))
+
+
 def converted(t: HotelTables) -> DataFrame:
     """Search rows that ended in a booking, by the flag of the search log."""
     return t.search_log.where(F.col("conversion") == 1)
 
 
 def recorded(t: HotelTables) -> DataFrame:
-    """Search rows that have a booking record."""
-    ids = t.booking_data.select("hotel_id", F.col("search_log_id").alias("id"))
+    """Search rows that have a booking record.
+
+    Adaptive execution cannot split the right side of a semi-join, so a search with very many records is merged
+    to one key first; the distinct step and the join share one exchange.
+    """
+    ids = t.booking_data.select("hotel_id", F.col("search_log_id").alias("id")).distinct()
     return t.search_log.join(ids, ["hotel_id", "id"], "left_semi")
 
 
@@ -52,8 +75,9 @@ def in_currencies(df: DataFrame, currencies: tuple[str, ...] | None = CURRENCIES
 
 
 def bookings_with_segment(t: HotelTables, currencies: tuple[str, ...] | None = None) -> DataFrame:
-    """Converted searches with their segment, shared by most booking analyses (worth caching when several run)."""
-    bookings = in_currencies(converted(t), currencies).select(
+    """Converted searches with their segment, the input of most booking analyses."""
+    bookings = picked(
+        in_currencies(converted(t), currencies),
         "hotel_id",
         "id",
         "search_log_session_id",

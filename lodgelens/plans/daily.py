@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.functions.columns import is_weekend, keyed_normal, on_circle, ratio_zero_as_one, total_spend
-from lodgelens.operators.cells import equi_join
 from lodgelens.tables import HotelTables
 
 WINDOWS = (3, 7, 14)
@@ -91,19 +90,26 @@ def with_noisy_twins(rows: DataFrame, seed: int, noise: float = NOISE) -> DataFr
     return doubled.selectExpr("hotel_id", "date", "copy", *shaken)
 
 
-def scaling_statistics(rows: DataFrame, by: tuple[str, ...] = ("hotel_id",)) -> DataFrame:
-    """Mean and population standard deviation of every scaled feature; nulls are skipped, zero spread counts 1."""
-    return rows.groupBy(*by).agg(
+def scaling_statistics(rows: DataFrame) -> DataFrame:
+    """One row with the mean and population standard deviation of every scaled feature; nulls are skipped, zero
+    spread counts 1."""
+    return rows.agg(
         *[F.expr(f"avg({f}) AS {f}__mean") for f in SCALED],
         *[F.expr(f"if(stddev_pop({f}) = 0, 1D, stddev_pop({f})) AS {f}__std") for f in SCALED],
     )
 
 
-def standardised(rows: DataFrame, statistics: DataFrame, by: tuple[str, ...] = ("hotel_id",)) -> DataFrame:
-    """Scale the features of each property by its own statistics (one row per property, joined back)."""
-    joined = equi_join(rows, statistics, by)
-    scaled = {f: f"({f} - {f}__mean) / {f}__std AS {f}" for f in SCALED}
-    return joined.selectExpr(*[scaled.get(c, c) for c in rows.columns])
+def standardised(rows: DataFrame) -> DataFrame:
+    """Scale the features of each property by its own mean and population deviation, zero spread counting 1.
+
+    The statistics are windows over the property's days.  The daily features are partitioned by property
+    already, so this adds no exchange.
+    """
+    over = "OVER (PARTITION BY hotel_id)"
+    means = [f"avg({f}) {over} AS {f}__mean" for f in SCALED]
+    spreads = [f"stddev_pop({f}) {over} AS {f}__std" for f in SCALED]
+    scaled = {f: f"({f} - {f}__mean) / if({f}__std = 0, 1D, {f}__std) AS {f}" for f in SCALED}
+    return rows.selectExpr("*", *means, *spreads).selectExpr(*[scaled.get(c, c) for c in rows.columns])
 
 
 def scaled_features(t: HotelTables, seed: int | None = None) -> DataFrame:
@@ -112,10 +118,10 @@ def scaled_features(t: HotelTables, seed: int | None = None) -> DataFrame:
     The statistics are those of all days, incomplete ones included.
     """
     days = daily_features(t)
-    complete = days.na.drop("any")
-    if seed is None:
-        return standardised(complete, scaling_statistics(days))
-    return standardised(with_noisy_twins(complete, seed), scaling_statistics(with_noisy_twins(days, seed)))
+    present = " AND ".join(f"{c} IS NOT NULL" for c in (TARGET, *FEATURES))
+    rows = days if seed is None else with_noisy_twins(days, seed)
+    flagged = rows.withColumn("_complete", F.expr(present))
+    return standardised(flagged).where("_complete").drop("_complete")
 
 
 # -- chronological numbering -------------------------------------------------------------------------------

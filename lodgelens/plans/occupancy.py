@@ -129,7 +129,7 @@ def scaling_stage(fitted_on: DataFrame) -> SQLTransformer:
 
     The statistics are one row of two numbers per feature.
     """
-    row = scaling_statistics(fitted_on, by=()).first()
+    row = scaling_statistics(fitted_on).first()
     scaled = [f"(`{f}` - {row[f'{f}__mean']!r}D) / {row[f'{f}__std']!r}D AS `{_stage_name(f)}`" for f in SCALED]
     return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
 

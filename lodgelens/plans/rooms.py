@@ -1,7 +1,7 @@
 """Which rooms guests pick, by segment and by paid-click source.
 
 Bookings are matched to their rooms, so every figure here counts room rows: a booking of three rooms counts
-three times, in the mean price too.
+three times, in the mean price too.  Shares are windows over cells: a property's room names are a catalogue.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.columns import is_paid_click, ratio
-from lodgelens.operators.cells import add_open_share, spread
+from lodgelens.operators.cells import add_share, spread
 from lodgelens.operators.segments import bookings_with_segment, converted, in_currencies, join_sessions
 from lodgelens.schema import CURRENCIES, PPC_SOURCES
 from lodgelens.tables import HotelTables
@@ -37,7 +37,7 @@ def room_choice_by_segment(t: HotelTables, currencies: Currencies = CURRENCIES)
     """Room rows per segment and room, with the room's percent of the segment."""
     rows = bookings_with_rooms(bookings_with_segment(t, currencies), t).where(F.col("picked_room").isNotNull())
     cells = rows.groupBy("hotel_id", "currency", "segment", "picked_room").agg(F.sum("room_rows").alias("room_rows"))
-    return add_open_share(cells, "room_rows", ["hotel_id", "currency", "segment"])
+    return add_share(cells, "room_rows", ["hotel_id", "currency", "segment"])
 
 
 def _rooms_by_source(t: HotelTables, currencies: Currencies) -> DataFrame:
@@ -65,12 +65,12 @@ def room_choice_by_source(t: HotelTables) -> DataFrame:
     cells = _rooms_by_source(t, None).groupBy("hotel_id", "picked_room", "utm_source").agg(
         F.sum("room_rows").alias("room_rows")
     )
-    return add_open_share(cells, "room_rows", ["hotel_id", "utm_source"])
+    return add_share(cells, "room_rows", ["hotel_id", "utm_source"])
 
 
 def room_choice_by_source_and_currency(t: HotelTables, currencies: Currencies = CURRENCIES) -> DataFrame:
     cells = _rooms_by_source(t, currencies)
-    shared = add_open_share(cells, "room_rows", ["hotel_id", "currency", "utm_source"])
+    shared = add_share(cells, "room_rows", ["hotel_id", "currency", "utm_source"])
     return shared.withColumn("avg_price", ratio("price", "room_rows")).drop("price")
 
 

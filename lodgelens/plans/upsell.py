@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.operators.cells import spread
-from lodgelens.operators.segments import converted, in_currencies, with_segment
+from lodgelens.operators.segments import converted, in_currencies, picked, with_segment
 from lodgelens.operators.tiers import add_tier
 from lodgelens.schema import CURRENCIES, SEGMENTS
 from lodgelens.tables import HotelTables
@@ -20,7 +20,7 @@ def _booked_upsell(t: HotelTables, currencies: Currencies, segment: bool) -> Dat
     Upsell rows are summed per search and product, booking records counted per search, so every side of the
     two joins has unique keys.  A search with several booking records counts each product as many times.
     """
-    searches = in_currencies(converted(t), currencies).select("hotel_id", "id", "currency", "adults", "children")
+    searches = picked(in_currencies(converted(t), currencies), "hotel_id", "id", "currency", "adults", "children")
     if segment:
         searches = with_segment(searches, t)
     records = t.booking_data.groupBy("hotel_id", F.col("search_log_id").alias("id")).agg(

@@ -108,18 +108,18 @@ def visits_overall(t: HotelTables) -> DataFrame:
 # -- repeat bookers ----------------------------------------------------------------------------------------
 
 
-def _repeat_cells(t: HotelTables, minimum: int = 2) -> DataFrame:
-    """Bookings of repeat bookers per (visitor, source, medium, currency), with the visitor's total.
+def _repeat_cells(t: HotelTables, *dimensions: str) -> DataFrame:
+    """Bookings of repeat bookers per visitor, currency and session columns, with the visitor's total.
 
-    The window sees one row per combination of UTM pair and currency of a visitor, not one per booking.
+    The window sees one row per combination of currency and dimensions of a visitor, not one per booking.
     """
-    cells = _bookings_per_user(t, "utm_source", "utm_medium")
+    cells = _bookings_per_user(t, *dimensions)
     total = F.sum("bookings").over(Window.partitionBy(*USER))
-    return cells.withColumn("booking_count", total).where(F.col("booking_count") >= minimum)
+    return cells.withColumn("booking_count", total).where(F.col("booking_count") > 1)
 
 
 def _repeat_by_source(t: HotelTables) -> DataFrame:
-    cells = _repeat_cells(t).groupBy("hotel_id", "utm_source", "utm_medium", "currency")
+    cells = _repeat_cells(t, "utm_source", "utm_medium").groupBy("hotel_id", "utm_source", "utm_medium", "currency")
     return cells.agg(
         F.count(F.lit(1)).alias("users"),  # a cell is one visitor
         *[F.sum(c).alias(c) for c in ("bookings", "revenue", "adults", "children")],
@@ -157,15 +157,15 @@ def booking_frequency(t: HotelTables) -> DataFrame:
     return repeat.groupBy("hotel_id", "booking_count").agg(F.count(F.lit(1)).alias("users"))
 
 
-def _top_users(t: HotelTables, k: int) -> DataFrame:
-    repeat = booking_counts(t).where(F.col("booking_count") > 1)
-    return top_k(repeat, ["hotel_id"], [F.desc("booking_count"), F.asc("uuid")], k)
+def _top_cells(t: HotelTables, k: int, *dimensions: str) -> DataFrame:
+    """Cells of the ``k`` visitors with most bookings, found in the cells themselves: one pass over the bookings."""
+    order = [F.desc("booking_count"), F.asc("uuid")]
+    return top_k(_repeat_cells(t, *dimensions), ["hotel_id"], order, k, dense=True)
 
 
 def top_bookers(t: HotelTables, k: int = 5) -> DataFrame:
     """The ``k`` visitors with most bookings: bookings, spend and guests per currency."""
-    spend = _bookings_per_user(t).join(_top_users(t, k), list(USER))
-    return spend.select(
+    return _top_cells(t, k).select(
         "hotel_id",
         "rank",
         "uuid",
@@ -182,7 +182,5 @@ def top_bookers(t: HotelTables, k: int = 5) -> DataFrame:
 
 def top_booker_sources(t: HotelTables, k: int = 5) -> DataFrame:
     """Bookings of the ``k`` top visitors by source."""
-    by_source = _bookings_per_user(t, "utm_source").groupBy(*USER, "utm_source").agg(
-        F.sum("bookings").alias("bookings")
-    )
-    return by_source.join(_top_users(t, k).select(*USER), list(USER), "left_semi").where(F.col("bookings") > 0)
+    by_source = _top_cells(t, k, "utm_source").groupBy(*USER, "utm_source").agg(F.sum("bookings").alias("bookings"))
+    return by_source.where(F.col("bookings") > 0)

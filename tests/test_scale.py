@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import TESTDATA
-from lodgelens.plans import leadtime, segments, visits
+from lodgelens.operators.segments import with_stored_segment
+from lodgelens.plans import leadtime, rooms, segments, upsell, visits
 from lodgelens.session import size_shuffles
 from lodgelens.sources import store
 from lodgelens.sources.sample_views import load_views
@@ -150,3 +151,12 @@ def test_shuffles_are_sized_from_the_data(spark):
         assert size_shuffles(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("analysis", [segments.segment_stats, leadtime.lead_time_by_segment, upsell.upsell_by_segment, rooms.room_choice_by_segment])
+def test_a_stored_segment_replaces_the_joins(spark, tmp_path, analysis):
+    plain = load_views(spark, TESTDATA)
+    with_stored_segment(plain).search_log.write.partitionBy("hotel_id").parquet(str(tmp_path / "search_log"))
+    stored = plain.replaced(search_log=store.read_store(spark, str(tmp_path)).search_log)
+    assert sorted(map(str, analysis(stored).collect())) == sorted(map(str, analysis(plain).collect()))
+    assert "l_returnflag" not in plan(analysis(stored)) and "l_returnflag" in plan(analysis(plain))
