@@ -214,7 +214,7 @@ def _features(rounded: bool) -> str:
        round(sin({_TAU} * month(date) / 12), 6) as month_sin, round(cos({_TAU} * month(date) / 12), 6) as month_cos,
        {_moving()}
     from series"""
-    return body if rounded else body.replace(", 6)", ", 15)")
+    return body if rounded else body.replace("round(", "(").replace(", 6)", ")")
 
 
 _FEATURES_EXACT = f"{_SERIES},\nfeatures as ({_features(False)})"
