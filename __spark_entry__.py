@@ -7,6 +7,7 @@ themselves never do that.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -189,9 +190,26 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["lead_time_by_segment"](spark, SMOKE_DIR)
 
 
+def _has_llm() -> bool:
+    """Whether the training-data operators are installed; their folders and the pipeline can be left out together."""
+    found = importlib.util.find_spec
+    return all(found(name) for name in ("lodgelens.llm", "corpus_pipeline")) and bool(found("lodgelens.llm.registry"))
+
+
 def queries() -> dict[str, Query]:
-    return dict(ANALYSES)
+    if not _has_llm():
+        return dict(ANALYSES)
+    import corpus_pipeline
+    from lodgelens.llm import registry
+
+    return {**ANALYSES, **registry.queries(), "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return driver_sql.oracle_sql()
+    if not _has_llm():
+        return driver_sql.oracle_sql()
+    import corpus_pipeline
+    from lodgelens.llm import registry
+
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**driver_sql.oracle_sql(), **registry.oracle_sql(), **pipeline}

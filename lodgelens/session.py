@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +54,49 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and read it from there.
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lodgelens-shared-")
+
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) is a temporary one made.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and the session runs in one process (tests) is a temporary folder used; on a cluster
+    a machine-local folder would lose data, so an unset folder is an error there.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return _local_folder()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the reliable checkpoint folder and read it from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodgelens-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class StoredTables:
+    """Intermediate tables as Parquet in the shared folder, so that a lost executor costs no recomputation.
+
+    ``put`` writes and rereads a table; ``drop`` deletes one that nothing reads any more.  What a returned DataFrame
+    still reads stays until the folder is cleared after the application.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{label}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
+
+    def drop(self, *labels: str) -> None:
+        for label in labels:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,5 +1,7 @@
 """Every driver query against its SQL text in DuckDB, over whole tables."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -7,7 +9,9 @@ from conftest import TESTDATA
 from oracle_check import differences, duck
 
 NO_SQL = {"augmented_features", "model_report", "pca_components", "model_grid", "best_model"}
-SQL = entry.oracle_sql()
+# The training-data operators have their own tests, in a folder that can be left out.
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if not re.match(r"op\d+_|pipeline$", name)}
+QUERIES = {name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)}
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +20,8 @@ def connection():
 
 
 def test_every_query_has_sql_but_the_model_fits():
-    assert set(entry.queries()) - set(SQL) == NO_SQL
-    assert set(SQL) <= set(entry.queries())
+    assert QUERIES - set(SQL) == NO_SQL
+    assert set(SQL) <= QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
