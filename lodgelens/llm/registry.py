@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import chat, exact_dedup, language_id, mixing, packing, warc
+from lodgelens.llm import chat, exact_dedup, language_id, mixing, near_dedup, packing, warc
 from lodgelens.llm.common import split_number, table
 from lodgelens.session import configure
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_language(marked, prototypes, carry=["doc_id", "held_out"])
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(configure(spark), sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     added = configure(spark).createDataFrame(
@@ -113,7 +117,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_language_id, op4_chat_format, op5_warc, op7_mixing, op8_exact_dedup, op10_packing)
+    f.__name__: f for f in (op2_language_id, op3_near_dedup, op4_chat_format, op5_warc, op7_mixing, op8_exact_dedup, op10_packing)
 }
 
 
