@@ -43,5 +43,10 @@ def input_rows(df: DataFrame, results: Iterable[str]) -> Column:
     return F.struct(*[quoted(name).alias(name) for name in others(df, results)])
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """A join side that grows with the data: always shuffled, so that plans are alike at every size."""
+    return df.hint("merge")
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

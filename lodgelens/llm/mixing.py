@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodgelens.llm.common import WORD, input_rows, text_of
+from lodgelens.llm.common import WORD, grows, input_rows, text_of
 from lodgelens.session import StoredTables
 
 SHARE = 1.5
@@ -227,7 +227,7 @@ def mix_sources(
     most_documents = targets.agg(F.max("documents").alias("most")).first()["most"] or 0
     rounded = round_copies(small.where("p > 0 AND p < 1"), most_documents, store)
     taken = store.put(rounded.unionByName(whole).unionByName(_decided(large)), "taken")
-    joined = placed.alias("d").join(taken.alias("t"), ["source_no", "unit"], "left")
+    joined = placed.alias("d").join(grows(taken).alias("t"), ["source_no", "unit"], "left")
     return joined.select(
         "row.*",
         "size",

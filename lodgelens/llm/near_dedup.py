@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.common import text_of
+from lodgelens.llm.common import grows, text_of
 from lodgelens.session import StoredTables
 
 SHINGLE = 5
@@ -180,7 +180,7 @@ class PathJoin:
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
         self.number += 1
-        return self.store.put(df, f"{label}-{self.number}")
+        return grows(self.store.put(df, f"{label}-{self.number}"))
 
     def branch(self, rows: DataFrame) -> DataFrame:
         """(node, rep, sketch) → (node, rep, n) of the children with several documents, stored."""
@@ -228,7 +228,7 @@ class PathJoin:
 
     def members(self, lists: DataFrame, table: DataFrame, value: str) -> DataFrame:
         """Every list with its documents' ``value`` (one column, an array of structs of at most LEAF documents)."""
-        rows = lists.select(F.col("reps").alias("list"), F.explode("reps").alias("rep")).join(table, "rep")
+        rows = lists.select(F.col("reps").alias("list"), F.explode("reps").alias("rep")).join(grows(table), "rep")
         return rows.groupBy("list").agg(F.collect_list(F.struct("rep", value)).alias("members")).select("members")
 
     def verified(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,7 +275,7 @@ class PathJoin:
         nodes = self.branch(start)
         lists, rest = [self.leaves(nodes)], self.large(nodes)
         sketches = self.reps.select("rep", "sketch")
-        nodes = self.branch(rest.join(sketches, "rep"))
+        nodes = self.branch(rest.join(grows(sketches), "rep"))
         lists.append(self.leaves(nodes))
         rest = self.large(nodes)
         found = [self.alike(lists[0].unionByName(lists[1]).distinct())]
@@ -288,7 +288,7 @@ class PathJoin:
             if depth == MAX_DEPTH:
                 found.append(self.blocks(rest))
                 break
-            nodes = self.branch(rest.join(sketches, "rep"))
+            nodes = self.branch(rest.join(grows(sketches), "rep"))
             found.append(self.alike(self.leaves(nodes)))
             rest, depth = self.large(nodes), depth + 1
         links.append(self.put(self.verified(union(found).distinct(), sets), "links"))
@@ -297,7 +297,7 @@ class PathJoin:
     def unconnected(self, rows: DataFrame, parts: DataFrame) -> DataFrame:
         """Rows of the nodes whose documents are not yet in one component."""
         labelled = self.put(
-            rows.join(parts, F.col("rep") == F.col("vertex"), "left").select(
+            rows.join(grows(parts), F.col("rep") == F.col("vertex"), "left").select(
                 "node", "rep", F.coalesce("component", "rep").alias("label")
             ),
             "labelled",
@@ -341,10 +341,10 @@ def components(links: DataFrame, store: StoredTables) -> DataFrame:
         least = store.put(
             both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m")), f"{name}-{step}-large"
         )
-        larger = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        larger = both.join(grows(least), "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         spread = store.put(larger.where("v <> u").distinct(), f"{name}-{step}-spread")
         least = store.put(spread.groupBy("v").agg(F.min("u").alias("m")), f"{name}-{step}-small")
-        joined = spread.join(least, "v")
+        joined = spread.join(grows(least), "v")
         small = joined.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(
             joined.select("v", F.col("m").alias("u"))
         )
@@ -370,13 +370,13 @@ def near_groups(
     join = PathJoin(docs, shingle, similarity, trees, store)
     parts = components(join.links(), store)
     sets = store.put(
-        join.reps.join(parts, F.col("rep") == F.col("vertex"), "left").select(
+        join.reps.join(grows(parts), F.col("rep") == F.col("vertex"), "left").select(
             "digest", F.coalesce("component", "rep").alias("found")
         ),
         "groups",
     )
     component = F.coalesce("found", "doc_id")
-    return join.signed.join(sets, "digest", "left").select(
+    return join.signed.join(grows(sets), "digest", "left").select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
@@ -390,4 +390,4 @@ def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
     gone = StoredTables(docs.sparkSession, "near-dedup-gone").put(
         marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone id")).distinct(), "gone"
     )
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone id"), "left_anti")
+    return docs.join(grows(gone), F.col("doc_id").cast("long") == F.col("gone id"), "left_anti")

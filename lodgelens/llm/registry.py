@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import chat, exact_dedup, language_id, mixing, near_dedup, packing, warc
+from lodgelens.llm import chat, exact_dedup, language_id, mixing, near_dedup, neighbours, packing, quality, warc
 from lodgelens.llm.common import split_number, table
 from lodgelens.session import configure
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(configure(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(configure(spark), sf_dir, "documents")
     split = split_number("doc_id", 3)
@@ -106,6 +110,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs, carry=["doc_id"])
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = split_number("doc_id", 5)
+    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text", (split == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.score_quality(docs, labels, ~F.col("held_out"), carry=["doc_id", "held_out"])
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -117,7 +128,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_language_id, op3_near_dedup, op4_chat_format, op5_warc, op7_mixing, op8_exact_dedup, op10_packing)
+    f.__name__: f for f in (op1_neighbours, op2_language_id, op3_near_dedup, op4_chat_format, op5_warc, op7_mixing, op8_exact_dedup, op9_quality, op10_packing)
 }
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.common import text_of
+from lodgelens.llm.common import grows, text_of
 from lodgelens.session import StoredTables
 
 BLOCK = 1 << 20
@@ -254,7 +254,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, store: StoredTables | No
         "groups",
     )
     last = F.when(F.coalesce(F.col("page_id"), F.col("last") - 1) < F.col("last"), F.col("last"))
-    joined = rows.join(groups, ["sha", "size"], "left").withColumn("refers", last)
+    joined = rows.join(grows(groups), ["sha", "size"], "left").withColumn("refers", last)
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("none")))
     records = joined.select(
         name(F.col("page_id")).alias("record_id"),
