@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgelens.llm import chat, exact_dedup, language_id, mixing, near_dedup, neighbours, packing, quality, warc
+from lodgelens.llm import chat, exact_dedup, language_id, language_model, mixing, near_dedup, neighbours, packing, quality, warc
 from lodgelens.llm.common import split_number, table
 from lodgelens.session import configure
 
@@ -90,6 +90,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents")
+    scored = language_model.score_documents(docs, split_number("doc_id", 7) != 2)
+    return scored.withColumn("held_out", ~F.col("trains")).drop("trains")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(configure(spark), sf_dir, "documents"), carry=["doc_id", "source"])
     return mixed.select(
@@ -128,7 +134,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_neighbours, op2_language_id, op3_near_dedup, op4_chat_format, op5_warc, op7_mixing, op8_exact_dedup, op9_quality, op10_packing)
+    f.__name__: f for f in (op1_neighbours, op2_language_id, op3_near_dedup, op4_chat_format, op5_warc, op6_language_model, op7_mixing, op8_exact_dedup, op9_quality, op10_packing)
 }
 
 
