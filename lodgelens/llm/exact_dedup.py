@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.common import input_rows, text_of
+from lodgelens.llm.common import grows, input_rows, text_of
 from lodgelens.session import StoredTables
 
 FIRST_BYTES = 64
@@ -58,7 +58,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", carry
             .withColumn("next_group", F.monotonically_increasing_id()),
             f"groups{depth}",
         )
-        split = keyed.join(groups, ["group", "digit", "ended"], "left")
+        split = keyed.join(grows(groups), ["group", "digit", "ended"], "left")
         goes_on = F.col("n").isNotNull() & ~F.col("ended")
         stored = store.put(
             split.select(
