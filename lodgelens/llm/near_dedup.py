@@ -5,7 +5,7 @@ A document is the set of its word shingles, sketched by minwise tokens (the smal
 positions at random and sends every document on to the child that its token at a picked position names, so that two
 documents at the threshold meet in one child per level on average (Christiani, Pagh & Sivertsen, "Scalable and robust
 set similarity join").  Nodes with at most ``LEAF`` documents are compared exhaustively, first by sketches, then on the
-full sets; larger ones branch on.
+full sets; larger ones branch on.  Sketches are short, so a node of thousands still fits a task.
 
 Links are what groups need, so all pairs of a group are never written: a compared node gives a spanning forest of its
 links.  From the second level on, large nodes are also compared with one of their documents in a distributed join, and
@@ -15,6 +15,7 @@ a node whose documents are all linked with each other already is finished.  Node
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ SHINGLE = 5
 SIMILARITY = (85, 100)
 SKETCH = 64
 TREES = 8
-LEAF = 16
+LEAF = 4096
 MAX_DEPTH = 20
 SLACK = 4.0  # standard deviations of a sketch's estimate below the similarity that still count as candidates
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sketch array<int>"
@@ -94,23 +95,18 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int] = SIMILARIT
     return whole * both >= part * (len(a) + len(b) - both)
 
 
-def spanning_links(n: int, link) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of ``link`` on 0 … n-1; pairs already connected are not asked for."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    links = []
-    for j in range(1, n):
-        for i in range(j):
-            a, b = find(i), find(j)
-            if a != b and link(i, j):
-                root[b] = a
-                links.append((i, j))
+def spanning_links(n: int, linked_among) -> list[tuple[int, int]]:
+    """A spanning forest of a graph on 0 … n-1, breadth first; ``linked_among(i, others)`` gives the rows of the array
+    ``others`` that i is linked with, and is never asked about rows already reached."""
+    left, links = np.arange(n), []
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = linked_among(i, left)
+            links += [(i, int(j)) for j in near]
+            queue += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
     return links
 
 
@@ -194,33 +190,36 @@ class PathJoin:
         return self.put(kids.join(shared, "node"), "nodes")
 
     def leaves(self, nodes: DataFrame) -> DataFrame:
-        """The distinct document lists of small nodes, stored."""
+        """The distinct document lists of small nodes."""
         lists = nodes.where(F.col("n") <= LEAF).groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-        return self.put(lists.select("reps").distinct(), "leaves")
+        return lists.select("reps").distinct()
 
     def large(self, nodes: DataFrame) -> DataFrame:
         return nodes.where(F.col("n") > LEAF).select("node", "rep")
 
     def alike(self, lists: DataFrame) -> DataFrame:
-        """The parts of document lists whose sketches may reach the similarity, stored."""
+        """The parts of document lists that sketches connect which may reach the similarity, stored."""
         share = self.similarity[0] / self.similarity[1]
         least = (share - SLACK * (share * (1 - share) / SKETCH) ** 0.5) * SKETCH
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = []
-                for members in batch.column(0):
-                    rows = sorted((m["rep"], m["sketch"]) for m in members.as_py())
-                    sketches = np.array([s for _, s in rows], dtype=np.int32)
-                    links = spanning_links(
-                        len(rows), lambda i, j: int((sketches[i] == sketches[j]).sum()) >= least
-                    )
-                    parts = {i: {i} for i in range(len(rows))}
-                    for i, j in links:
-                        whole = parts[i] | parts[j]
-                        parts.update(dict.fromkeys(whole, whole))
-                    parts = {min(p): p for p in parts.values() if len(p) > 1}
-                    found += [sorted({rows[i][0] for i in p}) for p in parts.values()]
+                found, begin = [], 0
+                rows = batch.column(0).flatten()
+                reps = rows.field("rep").to_numpy()
+                sketches = rows.field("sketch").flatten().to_numpy().reshape(-1, SKETCH)
+                for length in batch.column(0).value_lengths().to_pylist():
+                    ids, own = reps[begin : begin + length], sketches[begin : begin + length]
+                    begin += length
+                    part = np.arange(length)
+                    for i, j in spanning_links(
+                        length, lambda i, others: others[(own[others] == own[i]).sum(axis=1) >= least]
+                    ):
+                        part[j] = part[i]  # breadth first: i has its part already
+                    order = np.argsort(part, kind="stable")
+                    for members in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                        if len(members) > 1:
+                            found.append(np.unique(ids[members]).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["reps"])
 
         met = self.members(lists, self.reps.select("rep", "sketch"), "sketch")
@@ -228,7 +227,8 @@ class PathJoin:
 
     def members(self, lists: DataFrame, table: DataFrame, value: str) -> DataFrame:
         """Every list with its documents' ``value`` (one column, an array of structs of at most LEAF documents)."""
-        rows = lists.select(F.col("reps").alias("list"), F.explode("reps").alias("rep")).join(grows(table), "rep")
+        numbered = self.put(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
+        rows = numbered.select("list", F.explode("reps").alias("rep")).join(grows(table), "rep")
         return rows.groupBy("list").agg(F.collect_list(F.struct("rep", value)).alias("members")).select("members")
 
     def verified(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,10 +239,16 @@ class PathJoin:
             for batch in batches:
                 links = []
                 for members in batch.column(0):
-                    rows = sorted((m["rep"], m["tokens"]) for m in members.as_py())
-                    tokens = [np.frombuffer(t, np.uint64) for _, t in rows]
-                    pairs = spanning_links(len(rows), lambda i, j: linked(tokens[i], tokens[j], similarity))
-                    links += [(rows[i][0], rows[j][0]) for i, j in pairs]
+                    rows = members.values
+                    ids = rows.field("rep").to_numpy()
+                    tokens = [np.frombuffer(t, np.uint64) for t in rows.field("tokens").to_pylist()]
+                    links += [
+                        (int(ids[i]), int(ids[j]))
+                        for i, j in spanning_links(
+                            len(ids),
+                            lambda i, others: others[[linked(tokens[i], tokens[j], similarity) for j in others]],
+                        )
+                    ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"]
                 )
@@ -272,14 +278,14 @@ class PathJoin:
     def links(self) -> DataFrame:
         """Links (a, b) that connect what the similarity connects."""
         start = self.reps.select("rep", "sketch", F.explode(F.array(*[F.lit(t).cast("long") for t in range(self.trees)])).alias("node"))
-        nodes = self.branch(start)
-        lists, rest = [self.leaves(nodes)], self.large(nodes)
         sketches = self.reps.select("rep", "sketch")
-        nodes = self.branch(rest.join(grows(sketches), "rep"))
-        lists.append(self.leaves(nodes))
-        rest = self.large(nodes)
-        found = [self.alike(lists[0].unionByName(lists[1]).distinct())]
-        ids = found[0].select(F.explode("reps").alias("rep")).unionByName(rest.select("rep")).distinct()
+        nodes = self.branch(start)
+        found, rest = [self.alike(self.leaves(nodes))], self.large(nodes)
+        if not rest.isEmpty():
+            nodes = self.branch(rest.join(grows(sketches), "rep"))
+            found.append(self.alike(self.leaves(nodes)))
+            rest = self.large(nodes)
+        ids = union(found).select(F.explode("reps").alias("rep")).unionByName(rest.select("rep")).distinct()
         sets = self.put(shingle_sets(self.docs, self.put(ids, "candidates"), self.shingle), "sets")
         links, depth = [], 2
         while not rest.isEmpty():
@@ -333,7 +339,7 @@ def components(links: DataFrame, store: StoredTables) -> DataFrame:
     Large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond") until the links
     are stars; a vertex with very many links arrives as one row per task in the minimum and is split in the join.
     """
-    name = f"components-{components.__name__}-{id(links)}"
+    name = f"components-{uuid.uuid4().hex}"
     edges = store.put(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), f"{name}-0")
     state, step = None, 0
     while True:
