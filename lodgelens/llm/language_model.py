@@ -389,7 +389,7 @@ def _part_rows(columns: list) -> pa.RecordBatch:
 
 
 def rare_scores(blocks: DataFrame, house: Restaurants, seed: int) -> DataFrame:
-    """Sums per row and block over the occurrences of words that are not frequent."""
+    """A row per occurrence of a word that is not frequent; Spark sums them by document before it shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,14 +401,11 @@ def rare_scores(blocks: DataFrame, house: Restaurants, seed: int) -> DataFrame:
                 key = word * 128 + context  # sorted, like the cells; every occurrence has its cell
                 at = np.searchsorted(seating.word * 128 + seating.context, key)
                 count = seating.counts[word]
-                rid, row = np.unique(seating.places >> 8, return_inverse=True)
-                sums = [
-                    np.bincount(row, weights=x, minlength=len(rid))
-                    for x in (count > 0, np.log10(count + 1.0), np.log10(cell[at]))
-                ]
-                for begin in range(0, len(rid), 50_000):
-                    part = slice(begin, begin + 50_000)
-                    yield _part_rows([rid[part], None, None, None, sums[0][part].astype(np.int64), sums[1][part], sums[2][part]])
+                rid, known = seating.places >> 8, (count > 0).astype(np.int64)
+                base, score = np.log10(count + 1.0), np.log10(cell[at])
+                for begin in range(0, len(rid), 100_000):
+                    p = slice(begin, begin + 100_000)
+                    yield _part_rows([rid[p], None, None, None, known[p], base[p], score[p]])
 
     return blocks.mapInArrow(run, PARTS)
 
