@@ -395,7 +395,7 @@ def fit_occupancy(
                         (method, name, metrics["rmse"], metrics["r2"], metrics["mae"], error, shown, "ok", None)
                     )
                 except Exception as failure:  # one family must not end the others
-                    results.append((method, name, None, None, None, None, None, "failed", str(failure)[:2000]))
+                    results.append((method, name, None, None, None, None, None, "failed", str(failure)))
         finally:
             vectors.unpersist()
     frame = rows.sparkSession.createDataFrame(results, RESULT_SCHEMA)

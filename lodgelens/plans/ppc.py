@@ -116,10 +116,16 @@ def utm_matches(t: HotelTables, needle: str = "cpc", with_all_levels: bool = Fal
 
 
 def utm_split(t: HotelTables, table: str = "datepicker_daily_visitors", trim: bool = True) -> DataFrame:
-    """Visitors per source and medium, split out of the combined text of a traffic table."""
+    """Visitors per source and medium of a traffic table: its own columns, else split out of the combined text.
+
+    A loaded table has split a missing pair into ``unknown`` before it filled the combined text, so its columns count.
+    """
+    visits = t[table]
     source, medium = utm_parts("utm_source_and_medium", trim)
+    if {"utm_source", "utm_medium"} <= set(visits.columns):
+        source, medium = F.col("utm_source"), F.col("utm_medium")
     return (
-        t[table]
+        visits
         .groupBy("hotel_id", source.alias("utm_source"), medium.alias("utm_medium"))
         .agg(F.sum("user_count").alias("user_count"), F.sum("session_count").alias("session_count"))
     )

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from lodgelens.functions.columns import utm_parts
@@ -57,6 +58,9 @@ def separator(table: str) -> str:
     return "," if table == "daily_ppc_budget" else ";"
 
 
+SURPLUS = "field beyond the header"
+
+
 def _upper_half(encoding: str) -> str:
     return bytes(range(0xA0, 0x100)).decode(encoding)
 
@@ -68,19 +72,23 @@ def scan_csv(
 
     Spark refuses single-byte encodings other than ISO-8859-1.  Such a file is read as ISO-8859-1, which
     keeps every byte, and each text column is then mapped to the true characters inside the scan's projection.
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file.  A line with more fields than
+    the header is an error, as the surplus would be lost; a shorter line ends in nulls.
     """
     direct = encoding.upper() in SPARK_CSV_ENCODINGS
-    raw = spark.read.csv(
-        path,
-        header=True,
-        sep=sep,
-        encoding=encoding if direct else "ISO-8859-1",
-        quote='"',
-        escape='"',
-        multiLine=multiline,
-        inferSchema=False,
-    )
+    options = {
+        "header": True,
+        "sep": sep,
+        "encoding": encoding if direct else "ISO-8859-1",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multiline,
+    }
+    columns = spark.read.csv(path, inferSchema=False, **options).columns
+    fields = [T.StructField(name, T.StringType()) for name in (*columns, SURPLUS)]
+    lost = F.raise_error(F.concat(F.lit("a line has more fields than the header: "), F.input_file_name()))
+    whole = F.when(F.col(SURPLUS).isNotNull(), lost.cast("boolean")).otherwise(F.lit(True))
+    raw = spark.read.csv(path, schema=T.StructType(fields), **options).where(whole).drop(SURPLUS)
     if direct:
         return raw
     wrong, right = _upper_half("ISO-8859-1"), _upper_half(encoding)

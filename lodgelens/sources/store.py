@@ -14,11 +14,13 @@ def write_store(tables: HotelTables, path: str) -> None:
     """Parquet, one folder per table, partitioned by ``hotel_id``.
 
     The rebalance hint gathers each property's rows into few files, and lets adaptive execution split the
-    partition of a property that holds a large share of all rows.
+    partition of a property that holds a large share of all rows.  Only the properties in ``tables`` are replaced;
+    the others in the store stay.
     """
     for name in TABLE_NAMES:
         rows = tables[name].hint("rebalance", "hotel_id")
-        rows.write.mode("overwrite").partitionBy("hotel_id").parquet(f"{path}/{name}")
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("hotel_id").parquet(f"{path}/{name}")
 
 
 def read_store(spark: SparkSession, path: str, hotel_ids: list[int] | None = None) -> HotelTables:

@@ -16,7 +16,7 @@ from lodgelens.sources.sample_views import load_views
 from lodgelens.tables import HotelTables
 
 MODEL_QUERIES = {"pca_components", "model_grid", "best_model"}
-QUERIES = sorted(set(entry.queries()) - MODEL_QUERIES)
+QUERIES = sorted(n for n in set(entry.queries()) - MODEL_QUERIES if not re.match(r"op\d+_|pipeline$", n))
 
 
 def plan(df):
