@@ -123,6 +123,7 @@ ANALYSES: dict[str, Query] = {
     "upsell_by_segment": _query(upsell.upsell_by_segment),
     "upsell_revenue": _query(upsell.upsell_revenue),
     "upsell_revenue_tiers": _query(upsell.upsell_revenue_tiers),
+    "upsell_revenue_tiers_all": _query(lambda t: upsell.upsell_revenue_tiers(t, all_products=True)),
     "visits_before_booking": _query(visits.visits_before_booking),
     "visits_distribution": _query(visits.visits_distribution),
     "visits_summary": _query(visits.visits_summary),
@@ -146,6 +147,7 @@ ANALYSES: dict[str, Query] = {
     "data_quality": _query(profile.data_quality),
     "daily_features": _query(daily.daily_features),
     "scaled_features": _query(daily.scaled_features, digits=5),
+    "augmented_features": _query(lambda t: daily.scaled_features(t, seed=occupancy.SEED), digits=5),
     "daily_metrics": _query(monitor.daily_metrics),
     "model_metrics": _query(lambda t: monitor.model_metrics(_naive_predictions(t))),
     "residual_histogram": _query(lambda t: monitor.residual_histogram(_naive_predictions(t))),
@@ -154,15 +156,23 @@ ANALYSES: dict[str, Query] = {
     "feature_selection": _query(lambda t: occupancy.select_features(_train_days(t)), digits=3),
 }
 
-# Small grids: the full ones (``occupancy.MODELS``) are 33 points × 5 folds × 2 branches.
-SMALL_MODELS = {
-    "linear_regression": occupancy.MODELS["linear_regression"],
-    "ridge": occupancy.with_grid("ridge", alpha=(0.1, 10.0)),
-    "elastic_net": occupancy.with_grid("elastic_net", alpha=(0.1,), l1_ratio=(0.5,)),
-    "random_forest": occupancy.with_grid("random_forest", trees=(10,), depth=(5,), min_leaf=(1,)),
-    "gradient_boosting": occupancy.with_grid("gradient_boosting", trees=(5,), rate=(0.1,), depth=(3,)),
-}
-LINEAR_MODELS = {name: SMALL_MODELS[name] for name in ("linear_regression", "ridge")}
+LINEAR_MODELS = {name: occupancy.MODELS[name] for name in ("linear_regression", "ridge", "elastic_net")}
+# Single fits at one point of the full grids (``occupancy.MODELS``).
+FOREST = {"random_forest": occupancy.with_grid("random_forest", trees=(100,), depth=(10,), min_leaf=(1,))}
+BOOSTING = {"gradient_boosting": occupancy.with_grid("gradient_boosting", trees=(100,), rate=(0.1,), depth=(3,))}
+
+
+def _fits(models: dict[str, occupancy.Model], **options: object) -> Analysis:
+    """Result rows of the models, fitted property by property."""
+    return lambda t: occupancy.per_hotel(t, lambda i: occupancy.fit_occupancy(t, i, models, **options).results)
+
+
+def _best_linear(t: HotelTables) -> DataFrame:
+    def best(hotel_id: int) -> DataFrame:
+        fit = occupancy.fit_occupancy(t, hotel_id, LINEAR_MODELS, reference_compatible=True)
+        return occupancy.best_model(fit.results)
+
+    return occupancy.per_hotel(t, best)
 
 
 def _reports(t: HotelTables) -> DataFrame:
@@ -171,17 +181,14 @@ def _reports(t: HotelTables) -> DataFrame:
     return report.select("hotel_id", "report_date", F.to_json(F.struct(*report.columns)).alias("report"))
 
 
-# No SQL counterpart: seeded noise, nested reports, and Spark ML fits pooled over all properties.
+# No SQL counterpart: nested reports, and Spark ML fits of each property.
 ANALYSES |= {
-    "augmented_features": _query(lambda t: daily.scaled_features(t, seed=occupancy.SEED)),
     "model_report": _query(_reports),
-    "pca_components": _query(occupancy.pca_components),
-    "model_grid": _query(lambda t: occupancy.fit_occupancy(t, models=SMALL_MODELS).results),
-    "best_model": _query(
-        lambda t: occupancy.best_model(
-            occupancy.fit_occupancy(t, models=LINEAR_MODELS, reference_compatible=True).results
-        )
-    ),
+    "pca_components": _query(lambda t: occupancy.per_hotel(t, lambda i: occupancy.pca_components(t, i))),
+    "model_grid_linear": _query(_fits(LINEAR_MODELS)),
+    "best_model_linear": _query(_best_linear),
+    "forest_fit": _query(_fits(FOREST, methods=(occupancy.SELECTED,), search=False)),
+    "boosting_fit": _query(_fits(BOOSTING, methods=(occupancy.SELECTED,), search=False)),
 }
 
 

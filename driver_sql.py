@@ -242,6 +242,28 @@ scaled as (select hotel_id, date, round(fill_rate, 5) as fill_rate, weekday, is_
 select * from scaled where {complete}"""
 
 
+def _augmented(seed: int = 42, noise: float = 0.1) -> str:
+    def uniform(feature: str, tag: str) -> str:
+        key = f"concat_ws('|', '{seed}', '{feature}', '{tag}', cast(hotel_id as varchar), cast(date as varchar))"
+        return f"((cast(cast('0x' || substr(md5({key}), 1, 13) as bigint) as double) + 0.5) / {1 << 52})"
+
+    twins = ", ".join(
+        f"cast({f} as double) + case when copy = 0 then 0 else {noise} * sqrt(-2 * ln({uniform(f, 'radius')}))"
+        f" * cos({_TAU} * {uniform(f, 'angle')}) end as {f}"
+        for f in ["fill_rate", *FEATURES]
+    )
+    columns = ", ".join(
+        f"round(({f} - avg({f}) over w) / coalesce(nullif(stddev_pop({f}) over w, 0), 1), 5) as {f}" for f in SCALED
+    )
+    complete = " and ".join(f"{f} is not null" for f in ["fill_rate", *FEATURES])
+    return f"""with {_FEATURES_EXACT},
+twins as (select hotel_id, date, copy, {twins} from features cross join (select unnest([0, 1]) as copy) c),
+scaled as (select hotel_id, date, copy, round(fill_rate, 5) as fill_rate, round(weekday, 5) as weekday,
+                  round(is_weekend, 5) as is_weekend, {columns}
+           from twins window w as (partition by hotel_id))
+select * from scaled where {complete}"""
+
+
 def _scores() -> str:
     parts = " union all ".join(
         f"select hotel_id, '{f}' as feature, corr({f}, fill_rate) as r, count(*) as n from split where role = 'train' group by hotel_id"
@@ -414,6 +436,21 @@ select hotel_id, currency, segment, name, round(cast(sum(sum_price) as double),
 from sold group by hotel_id, currency, segment, name""",
     "upsell_revenue_tiers": f"""with {_UPSELL},
 items as (select hotel_id, currency, name, sum(sum_price) as revenue from sold group by all),
+cuts as (select hotel_id, currency, quantile_cont(cast(revenue as double), [0, 1/3.0, 2/3.0, 1]) as q
+         from items group by all),
+edges as (select hotel_id, currency, round(q[1], 6) as e0, round(q[2], 6) as e1, round(q[3], 6) as e2, round(q[4], 6) as e3
+          from cuts)
+select i.hotel_id, i.currency, i.name, round(cast(revenue as double), 2) as revenue,
+       case (case when e1 > e0 and e1 < e3 and e1 < cast(revenue as double) then 1 else 0 end)
+          + (case when e2 > e0 and e2 > e1 and e2 < e3 and e2 < cast(revenue as double) then 1 else 0 end)
+            when 0 then 'low' when 1 then 'medium' else 'high' end as tier
+from items i join edges e on e.hotel_id = i.hotel_id and e.currency = i.currency where revenue > 0""",
+    "upsell_revenue_tiers_all": f"""with {_UPSELL},
+names as (select distinct hotel_id, name from upsell_data),
+places as (select distinct hotel_id, currency from sold),
+items as (select p.hotel_id, p.currency, n.name, coalesce(sum(s.sum_price), 0) as revenue
+          from places p join names n on n.hotel_id = p.hotel_id
+          left join sold s on s.hotel_id = p.hotel_id and s.currency = p.currency and s.name = n.name group by all),
 cuts as (select hotel_id, currency, quantile_cont(cast(revenue as double), [0, 1/3.0, 2/3.0, 1]) as q
          from items group by all),
 edges as (select hotel_id, currency, round(q[1], 6) as e0, round(q[2], 6) as e1, round(q[3], 6) as e2, round(q[4], 6) as e3
@@ -528,6 +565,7 @@ full join (select hotel_id, round(avg(fill_rate), 6) as avg_fill_rate from daily
     "data_quality": _quality(),
     "daily_features": f"with {_SERIES} {_features(True)}",
     "scaled_features": _scaled(),
+    "augmented_features": _augmented(),
     "daily_metrics": """
 with b as (select hotel_id, cast(utc_datetime as date) as date, count(*) as bookings from search_log
            where conversion = 1 group by all),
@@ -570,6 +608,7 @@ _AS_TEXT = {
     "price_diff_series": ("utc_datetime",),
     "daily_features": ("date",),
     "scaled_features": ("date",),
+    "augmented_features": ("date",),
     "daily_metrics": ("date",),
     "chronological_split": ("date",),
     "ts_folds": ("first_date", "last_date"),

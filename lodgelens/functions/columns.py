@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column
@@ -66,6 +67,16 @@ def is_paid_click(source: ColumnLike, medium: ColumnLike, sources: Sequence[str]
     return (_c(medium) == PPC_MEDIUM) & _c(source).isin(*sources)
 
 
+def is_pair(source: ColumnLike, medium: ColumnLike, pairs: Sequence[str]) -> Column:
+    """Whether ``source / medium`` is one of ``pairs``, as comparisons of plain columns that reach the scan."""
+    by_medium: dict[str, list[str]] = {}
+    for pair in pairs:
+        known_source, _, known_medium = pair.partition(" / ")
+        by_medium.setdefault(known_medium, []).append(known_source)
+    tests = [(_c(medium) == m) & _c(source).isin(*sources) for m, sources in by_medium.items()]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
 def first_part(text: ColumnLike, separator: str = "_") -> Column:
     return F.split_part(_c(text), F.lit(separator), F.lit(1))
 
@@ -139,11 +150,13 @@ def keyed_normal(seed: int, name: str, *keys: str) -> str:
     """SQL text of standard normal noise that is a pure function of (seed, name, keys).
 
     Unlike ``randn`` it does not depend on how the rows are partitioned, so a task that is run again after
-    the loss of an executor gives the same numbers.
+    the loss of an executor gives the same numbers.  The uniforms are 52 bits of an MD5 digest, which other
+    engines can compute too.
     """
     def uniform(tag: str) -> str:
-        bits = f"shiftrightunsigned(xxhash64({seed}, '{name}', '{tag}', {', '.join(keys)}), 11)"
-        return f"((CAST({bits} AS DOUBLE) + 0.5D) / {float(1 << 53)!r}D)"
+        parts = ", ".join(f"CAST({key} AS STRING)" for key in keys)
+        bits = f"conv(substr(md5(concat_ws('|', '{seed}', '{name}', '{tag}', {parts})), 1, 13), 16, 10)"
+        return f"((CAST({bits} AS DOUBLE) + 0.5D) / {float(1 << 52)!r}D)"
 
     return f"(sqrt(-2 * ln({uniform('radius')})) * cos(2 * pi() * {uniform('angle')}))"
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.functions.columns import lead_time_days, utm_pair
+from lodgelens.functions.columns import is_pair, lead_time_days, utm_pair
 from lodgelens.operators.cells import spread, value_counts
 from lodgelens.operators.distribution import (
     box_statistics,
@@ -74,7 +74,7 @@ def _source_histogram(t: HotelTables, pairs: Sequence[str], *keys: str) -> DataF
     named = join_sessions(per_session, t, "utm_source", "utm_medium").withColumn(
         "utm_source_and_medium", utm_pair("utm_source", "utm_medium")
     )
-    chosen = named.where(F.col("utm_source_and_medium").isin(*pairs))
+    chosen = named.where(is_pair("utm_source", "utm_medium", pairs))
     return chosen.groupBy(*BY_SOURCE, *keys, "lead_time").agg(F.sum("n").alias("n"))
 
 
@@ -96,7 +96,7 @@ def bookings_by_source(t: HotelTables, pairs: Sequence[str] = PPC_PAIRS) -> Data
     named = join_sessions(per_session, t, "utm_source", "utm_medium").withColumn(
         "utm_source_and_medium", utm_pair("utm_source", "utm_medium")
     )
-    chosen = named.where(F.col("utm_source_and_medium").isin(*pairs))
+    chosen = named.where(is_pair("utm_source", "utm_medium", pairs))
     return chosen.groupBy("hotel_id", "utm_source_and_medium").agg(F.sum("n").alias("bookings"))
 
 

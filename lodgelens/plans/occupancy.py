@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -168,7 +169,7 @@ def components_kept(variance: Sequence[float], share: float = KEPT_VARIANCE) ->
 
 
 def pca_components(t: HotelTables, hotel_id: int | None = None, **options: object) -> DataFrame:
-    """Share and running share of variance per component, with those kept."""
+    """Share and running share of variance per component, with those kept; of one property, or of all pooled."""
     rows, scaled_on = model_rows(t, hotel_id, **options)
     rows = cut_lineage(rows)
     variance = component_variance(rows.where(F.col("role") == "train"), scaling_stage(scaled_on))
@@ -309,7 +310,23 @@ def result_table(results: DataFrame, decimals: int = 3) -> DataFrame:
     return results.select("method", "model", *[rounded(m, decimals).alias(m) for m in ("rmse", "r2", "mae")])
 
 
-def _run_parallel(spark, tasks: Sequence[Callable[[], float]], parallelism: int) -> list[float]:
+def per_hotel(t: HotelTables, run: Callable[[int], DataFrame], parallelism: int = 3) -> DataFrame:
+    """The union of ``run(hotel_id)`` over all properties with daily visitors, with ``hotel_id`` as first column.
+
+    Every property has its own scaling, features, components and models; a few are fitted at a time.
+    """
+    ids = [r["hotel_id"] for r in t.datepicker_daily_visitors.select("hotel_id").distinct().orderBy("hotel_id").collect()]
+
+    def one(hotel_id: int) -> DataFrame:
+        frame = run(hotel_id)
+        return frame.select(F.lit(hotel_id).alias("hotel_id"), *frame.columns)
+
+    spark = t.datepicker_daily_visitors.sparkSession
+    parts = _run_parallel(spark, [lambda i=i: one(i) for i in ids], parallelism)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _run_parallel(spark, tasks: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Run a few independent Spark jobs at a time, each under the caller's job properties."""
     pool = ThreadPool(processes=max(1, min(parallelism, len(tasks))))
     try:
@@ -357,12 +374,17 @@ def fit_occupancy(
     kept_variance: float = KEPT_VARIANCE,
     seed: int = SEED,
     parallelism: int = 4,
+    methods: Sequence[str] = (SELECTED, COMPONENTS),
+    search: bool = True,
 ) -> OccupancyFit:
     """Fit every model family on selected features and on principal components, and score them on the test rows.
 
     The rows are written once to the checkpoint folder; all fits read them from there.  A family that fails is
-    reported in its result row and the others go on.
+    reported in its result row and the others go on.  ``search=False`` fits families of a single grid point at that
+    point, without folds (``cv_mse`` is NULL).
     """
+    if not search and any(len(model.points()) != 1 for model in models.values()):
+        raise ValueError("without a search, every family needs exactly one grid point")
     planned, scaled_on = model_rows(t, hotel_id, reference_compatible, augment, seed, folds)
     rows = cut_lineage(planned)
     train = rows.where(F.col("role") == "train")
@@ -378,14 +400,18 @@ def fit_occupancy(
     }
 
     results, pipelines = [], {}
-    for method, stages in branches.items():
+    for method in methods:
+        stages = branches[method]
         prepared = Pipeline(stages=stages).fit(train)
         columns = ["hotel_id", "block", TARGET, "features"]
         vectors = prepared.transform(train).select(*columns).persist()
         try:
             for name, model in models.items():
                 try:
-                    point, error = _grid_search(model, vectors, sizes, folds, parallelism)
+                    if search:
+                        point, error = _grid_search(model, vectors, sizes, folds, parallelism)
+                    else:
+                        point, error = model.points()[0], None
                     fitted = model.build(point, *sizes[folds]).fit(vectors)
                     pipelines[method, name] = PipelineModel(stages=[*prepared.stages, fitted])
                     scored = fitted.transform(prepared.transform(test))

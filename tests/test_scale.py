@@ -15,7 +15,7 @@ from lodgelens.sources import store
 from lodgelens.sources.sample_views import load_views
 from lodgelens.tables import HotelTables
 
-MODEL_QUERIES = {"pca_components", "model_grid", "best_model"}
+MODEL_QUERIES = {"pca_components", "model_grid_linear", "best_model_linear", "forest_fit", "boosting_fit"}
 QUERIES = sorted(n for n in set(entry.queries()) - MODEL_QUERIES if not re.match(r"op\d+_|pipeline$", n))
 
 
