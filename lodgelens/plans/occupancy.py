@@ -393,11 +393,10 @@ def fit_occupancy(
     sizes = _train_sizes(train, folds)
 
     features = [r["feature"] for r in select_features(train, best_features, by=()).orderBy("rank").collect()]
-    components = components_kept(component_variance(train, scaling), kept_variance)
-    branches = {
-        SELECTED: [scaling, _vector(features)],
-        COMPONENTS: [scaling, *_centred(), PCA(k=components, inputCol="centred", outputCol="features")],
-    }
+    branches, components = {SELECTED: [scaling, _vector(features)]}, 0
+    if COMPONENTS in methods:
+        components = components_kept(component_variance(train, scaling), kept_variance)
+        branches[COMPONENTS] = [scaling, *_centred(), PCA(k=components, inputCol="centred", outputCol="features")]
 
     results, pipelines = [], {}
     for method in methods:
