@@ -1,8 +1,8 @@
 """Visitors across sessions: visits before the first booking, repeat bookers.
 
 A visitor is a ``uuid``; its sessions carry the searches.  Searches meet sessions in a plain equi join whose
-right side is unique on the key, so a session with a large share of all searches only makes the left side
-uneven, which adaptive execution splits.  Everything else works on one row per session or per visitor.
+right side has one row per session (and currency booked in), so a session with a large share of all searches only
+makes the left side uneven, which adaptive execution splits.  Everything else works on one row per session or per visitor.
 """
 
 from __future__ import annotations
@@ -17,31 +17,54 @@ from lodgelens.operators.segments import converted, join_sessions, session_colum
 from lodgelens.tables import HotelTables
 
 USER = ("hotel_id", "uuid")
+FIGURES = ("bookings", "revenue", "adults", "children")
 
 
-def visits_before_booking(t: HotelTables) -> DataFrame:
-    """For each visitor who booked: searches strictly before the first booking.
+def _booked(t: HotelTables, *dimensions: str) -> DataFrame:
+    """Bookings, revenue, guests and first booking of every visitor who booked, per ``dimensions`` of the search log.
 
-    The first booking is found on converted searches alone and carried to the visitor's sessions; the full
-    search log is then shuffled once, with three columns, to be counted against it.
+    ``booked_at`` is the visitor's first booking over all dimensions.
     """
-    first_in_session = converted(t).groupBy("hotel_id", "search_log_session_id").agg(
-        F.min("utc_datetime").alias("booked_at")
+    per_session = converted(t).groupBy("hotel_id", "search_log_session_id", *dimensions).agg(
+        F.min("utc_datetime").alias("booked_at"),
+        F.count(F.lit(1)).alias("bookings"),
+        F.sum("total_price_final").alias("revenue"),
+        F.sum("adults").alias("adults"),
+        F.sum("children").alias("children"),
     )
-    sessions = session_columns(t, "uuid").where(F.col("uuid").isNotNull())
-    first = (
-        first_in_session.join(sessions, ["hotel_id", "search_log_session_id"])
-        .groupBy(*USER)
-        .agg(F.min("booked_at").alias("booked_at"))
+    joined = join_sessions(per_session, t, "uuid").where(F.col("uuid").isNotNull())
+    booked = joined.groupBy(*USER, *dimensions).agg(
+        F.min("booked_at").alias("booked_at"), *[F.sum(c).alias(c) for c in FIGURES]
     )
+    if not dimensions:
+        return booked
+    return booked.withColumn("booked_at", F.min("booked_at").over(Window.partitionBy(*USER)))
+
+
+def _booked_with_visits(t: HotelTables, *dimensions: str) -> DataFrame:
+    """Every visitor who booked with ``visits``, the searches strictly before the first booking, and the figures.
+
+    The first booking is found on converted searches alone and carried to the visitor's sessions, the figures with
+    it; the full search log is then shuffled once, with three columns, to be counted against it.  A visitor who
+    booked in two currencies has two rows, both with all the searches before the overall first booking.
+    """
+    sessions = session_columns(t, "uuid").where(F.col("uuid").isNotNull())
     searches = t.search_log.select("hotel_id", "search_log_session_id", "utc_datetime")
     return (
-        searches.join(sessions.join(first, list(USER)), ["hotel_id", "search_log_session_id"])
-        .groupBy(*USER)
-        .agg(F.count_if(F.col("utc_datetime") < F.col("booked_at")).alias("visits"))
+        searches.join(sessions.join(_booked(t, *dimensions), list(USER)), ["hotel_id", "search_log_session_id"])
+        .groupBy(*USER, *dimensions)
+        .agg(
+            F.count_if(F.col("utc_datetime") < F.col("booked_at")).alias("visits"),
+            *[F.max(c).alias(c) for c in FIGURES],  # the same in all rows of a group
+        )
     )
 
 
+def visits_before_booking(t: HotelTables) -> DataFrame:
+    """For each visitor who booked: searches strictly before the first booking."""
+    return _booked_with_visits(t).select(*USER, "visits")
+
+
 def _bookings_per_user(t: HotelTables, *dimensions: str) -> DataFrame:
     """Bookings, revenue and guests per visitor, currency and further session columns."""
     per_session = converted(t).groupBy("hotel_id", "search_log_session_id", "currency").agg(
@@ -51,21 +74,13 @@ def _bookings_per_user(t: HotelTables, *dimensions: str) -> DataFrame:
         F.sum("children").alias("children"),
     )
     joined = join_sessions(per_session, t, "uuid", *dimensions).where(F.col("uuid").isNotNull())
-    return joined.groupBy(*USER, "currency", *dimensions).agg(
-        *[F.sum(c).alias(c) for c in ("bookings", "revenue", "adults", "children")]
-    )
+    return joined.groupBy(*USER, "currency", *dimensions).agg(*[F.sum(c).alias(c) for c in FIGURES])
 
 
 def _currency_histogram(t: HotelTables) -> DataFrame:
-    """Visitors per (currency, visits), with their bookings, revenue and guests in that currency.
-
-    A visitor who booked in two currencies counts in both, each time with the visits before the overall first
-    booking.
-    """
-    joined = _bookings_per_user(t).join(visits_before_booking(t), list(USER))
-    return joined.groupBy("hotel_id", "currency", "visits").agg(
-        F.count(F.lit(1)).alias("users"),
-        *[F.sum(c).alias(c) for c in ("bookings", "revenue", "adults", "children")],
+    """Visitors per (currency, visits), with their bookings, revenue and guests in that currency."""
+    return _booked_with_visits(t, "currency").groupBy("hotel_id", "currency", "visits").agg(
+        F.count(F.lit(1)).alias("users"), *[F.sum(c).alias(c) for c in FIGURES]
     )
 
 
@@ -100,9 +115,10 @@ def visits_summary(t: HotelTables) -> DataFrame:
 
 def visits_overall(t: HotelTables) -> DataFrame:
     """Visits before booking over all currencies, each visitor once."""
-    bookings = _bookings_per_user(t).groupBy("hotel_id").agg(F.sum("bookings").alias("bookings"))
-    histogram = visits_before_booking(t).groupBy("hotel_id", "visits").agg(F.count(F.lit(1)).alias("users"))
-    return histogram.groupBy("hotel_id").agg(*_visit_statistics()).join(bookings, "hotel_id")
+    histogram = _booked_with_visits(t).groupBy("hotel_id", "visits").agg(
+        F.count(F.lit(1)).alias("users"), F.sum("bookings").alias("bookings")
+    )
+    return histogram.groupBy("hotel_id").agg(*_visit_statistics(), F.sum("bookings").alias("bookings"))
 
 
 # -- repeat bookers ----------------------------------------------------------------------------------------

@@ -293,3 +293,10 @@ def test_profiles(make_tables):
     quality = profile.data_quality(t).collect()
     assert [tuple(r) for r in quality] == [(1, "daily_occupancy", 6, 3, 1)]
     assert len(profile.first_rows(t)["daily_occupancy"].collect()) == 3
+
+
+def test_rows_that_differ_in_which_value_is_missing_are_no_duplicates(make_tables):
+    pair = [{"utm_source": "x", "utm_medium": None}, {"utm_source": None, "utm_medium": "x"}]
+    t = make_tables(search_log_session=[*pair, *pair, {"utm_source": "x", "utm_medium": "x"}])
+    found = profile.data_quality(t, ("search_log_session",)).first()
+    assert (found["row_count"], found["duplicate_rows"]) == (5, 2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import TESTDATA
 from lodgelens.operators.segments import with_stored_segment
-from lodgelens.plans import leadtime, rooms, segments, upsell, visits
+from lodgelens.plans import leadtime, profile, rooms, segments, upsell, visits
 from lodgelens.session import size_shuffles
 from lodgelens.sources import store
 from lodgelens.sources.sample_views import load_views
@@ -61,6 +61,21 @@ def test_campaign_totals_do_not_read_rooms(spark):
     assert "lineitem" not in plan(entry.queries()["top_campaigns"](spark, TESTDATA))
 
 
+def test_visits_read_searches_twice_and_sessions_twice(spark):
+    for query in (visits.visits_summary, visits.visits_distribution, visits.visits_overall):
+        read = plan(query(load_views(spark, TESTDATA)))
+        assert 0 < len(re.findall(r"Location: [^\n]*/orders\.parquet", read)) <= 2
+        assert 0 < len(re.findall(r"Location: [^\n]*/customer\.parquet", read)) <= 2 * 3  # the view stacks three properties
+
+
+def test_data_quality_shuffles_hashes_not_rows(no_broadcast):
+    t = load_views(no_broadcast, TESTDATA)
+    text = plan(profile.data_quality(t, ("search_log",)))
+    assert re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", re.sub(r"#\d+L?", "", text)) == [
+        "hotel_id", "hotel_id, _first, _second"
+    ]
+
+
 def test_hot_session_is_split(no_broadcast, make_table):
     """One session with most of all searches: the join that meets raw searches is split by adaptive execution."""
     spark = no_broadcast
