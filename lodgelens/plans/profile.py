@@ -63,8 +63,8 @@ def base_stats(t: HotelTables) -> DataFrame:
 def data_quality(t: HotelTables, tables: tuple[str, ...] = TABLE_NAMES) -> DataFrame:
     """Missing values, rows and duplicate rows per table and property.
 
-    Two 64-bit hashes of a row are shuffled, never the row: rows count as equal where both agree (among 10^13 different
-    rows of a property, the chance that any two agree is below 10^-12).  Equal rows are merged before the exchange
+    Two 64-bit hashes of a row are shuffled, never the row: rows count as equal where both agree (for hashes as good
+    as random ones, a chance below 10^-12 among 10^13 different rows).  Equal rows are merged before the exchange
     already, so a row copied millions of times travels as one; all three figures come out of that single grouping.
     """
     return reduce(DataFrame.unionByName, [_quality(t[name], name) for name in tables])
