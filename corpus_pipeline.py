@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lodgelens.llm import exact_dedup, language_id, mixing, near_dedup, packing, registry
 from lodgelens.session import StoredTables, configure
 
+NEAR = (80, 100)  # similarity of word shingles from which the near_dedup stage drops copies
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; profiles are learned from the labelled ones."""
@@ -29,7 +31,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
-    return near_dedup.keep_one_of_each(docs)
+    return near_dedup.keep_one_of_each(docs, similarity=NEAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

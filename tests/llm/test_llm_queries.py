@@ -118,3 +118,13 @@ def test_pipeline_stages(spark, texts):
     assert kept["near_dedup"] <= kept["exact_dedup"]
     packed = corpus_pipeline.run(spark, TESTDATA).groupBy("doc_id").count()
     assert {r["doc_id"] for r in packed.collect()} <= kept["near_dedup"]
+
+
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    """Of 496 shingles, 10 replaced words change 50 (similarity 0.817) and 14 change 70 (0.753)."""
+    text = [f"w{n}" for n in range(500)]
+    near, far = ([f"x{n}" if n % 30 == 10 and n < 30 * k else w for n, w in enumerate(text)] for k in (10, 14))
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(far[::-1])), (4, " ".join(text[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, TESTDATA)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3, 4}
