@@ -1,18 +1,20 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
-A token is drawn from the restaurant of its context, the previous word; all context restaurants share one parent, the
-restaurant of single words, whose base measure is uniform over the training vocabulary and one unknown word.  The
-``CONTEXTS`` most frequent previous words and the start of a text have restaurants of their own, all other previous
-words share one.  Seating is sampled by Gibbs sweeps, and a token's probability is the mean of the predictive
-probabilities of the sweeps.
+A token is drawn from the restaurant of its context, the previous word or the start of the text; all context
+restaurants share one parent, the restaurant of single words, whose base measure is uniform over the training
+vocabulary and one unknown word.  Every previous word has a restaurant of its own.  A token's probability is the mean of
+the predictive probabilities of several sweeps over the seating.
 
 Given the numbers of tables per restaurant, the seating of one word's customers does not depend on other words'.  So
 the corpus is dealt out by word: a task holds all of its words' customers in every restaurant, sweeps over them, and
 scores the words' occurrences.  The numbers of tables are summed over all tasks between two rounds of sweeps.
 
-The ``FREQUENT`` commonest words take up most tokens.  Their occurrences are never shuffled: their counts per context
-are summed in the tasks that read the documents, and their probabilities (at most CONTEXTS * FREQUENT numbers, a fixed
-bound) are broadcast.  All other words take the exact path by word; none of them is common enough for a hot key.
+The ``FREQUENT`` commonest words take up most tokens.  Where one follows another, occurrences are never shuffled: their
+counts per pair are summed in the tasks that read the documents, and their probabilities (at most (CONTEXTS + 1) *
+FREQUENT numbers, a fixed bound) are broadcast.  A pair of a frequent word behind a rare one is dealt out by the rare
+one, any other pair by its word, so that no task gets a hot key.  Totals of the frequent words and contexts are short
+arrays that the driver sums up; those of a rare context are summed by the task that owns it, which tells them to the
+blocks with customers in it (``exchange``).
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgelens.llm.common import text_of
+from lodgelens.llm.common import grows, text_of
 from lodgelens.session import StoredTables
 
-FREQUENT = 32_768
-CONTEXTS = 64  # 0: all other words, 1 … 63: the commonest words, 64: the start of a text
+FREQUENT = 4096
+CONTEXTS = FREQUENT  # 1 … FREQUENT - 1: the frequent words, FREQUENT: the start of a text, below 0: any other word
 START = CONTEXTS
 END = 0  # the code of the token that ends a text
 STRENGTH = 1.0
@@ -41,15 +43,67 @@ SAMPLES = 4
 TASK_TOKENS = 1_500_000
 EXACT_CUSTOMERS = 256
 COUNTED_WORDS = 400_000
-
-TOKENS = "rid long, doc_id long, train boolean, n_tokens long, frequent binary, rare array<long>, places array<long>"
+HELD_TOKENS = 1_500_000
+BUCKETS = 4  # per task
+PAIR_BUCKETS = 1024  # of frequent words, so at most FREQUENT
+SLICES = 64  # of an array of totals
+DIGITS = 1e7  # sums of logarithms travel as multiples of 1 / DIGITS
+
+TOKENS = (
+    "rid long, doc_id long, train boolean, n_tokens long, frequent binary, "
+    "bucket long, pairs binary"
+)
 BLOCK = (
     "words binary, counts binary, sizes binary, contexts binary, customers binary, seen binary, places binary, "
-    "totals array<double>"
+    "totals array<double>, block long"
 )
-# totals of a block: customers per context, tables per context, then root customers, root tables, words, tokens,
-# cells with one and two customers, words with one and two customers
-N_TOTALS = 2 * (CONTEXTS + 1) + 8
+TELLING, TOLD = "owner long, block long, totals binary", "block long, owner long, totals binary"
+PAIRS, SUMS = "bucket long, pairs binary", "owner long, sums binary"
+# totals of a block: customers per frequent context, tables per frequent context, then root customers, root tables,
+# rare words, tokens, cells with one and two customers, rare words with one and two customers, and per frequent word
+# its customers, those at the root, and tables at the root
+N_TOTALS = 2 * (CONTEXTS + 1) + 8 + 3 * FREQUENT
+TYPES = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+
+
+def _rows(schema: str, columns: list) -> pa.RecordBatch:
+    """A batch of ``schema``; None stands for a column of nulls."""
+    names, types = zip(*[part.split() for part in schema.split(", ")])
+    n = next(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(n, TYPES[t]) if c is None else pa.array(c, TYPES[t]) for c, t in zip(columns, types)]
+    return pa.RecordBatch.from_arrays(arrays, list(names))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers by planes of bytes, compressed."""
+    sizes = np.array([len(arrays), *map(len, arrays)], np.int64)
+    held = np.concatenate([np.asarray(x).astype(np.int64, copy=False) for x in arrays])
+    planes = np.ascontiguousarray(held.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return sizes.tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpacked(held: bytes) -> list[np.ndarray]:
+    sizes = np.frombuffer(held, np.int64, np.frombuffer(held, np.int64, 1)[0], 8)
+    n, head = int(sizes.sum()), 8 + 8 * len(sizes)
+    planes = pa.decompress(held[head:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
+    numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).reshape(-1).view(np.int64)
+    return np.split(numbers, np.cumsum(sizes)[:-1])
+
+
+def _coded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and which one stands where."""
+    return np.unique(codes, return_inverse=True)
+
+
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return (codes.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted keys."""
+    fresh = np.ones(len(keys[0]), dtype=bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(fresh)
 
 
 class WordCodes(dict):
@@ -76,140 +130,164 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def commonest_words(texts: DataFrame, n: int = FREQUENT - 1) -> list[bytes]:
-    """The words to treat as frequent.  A task's counter is thinned out from below when it is full, so counts of rare
-    words may be too low here; this choice decides by which way a word is counted, exactly, later on."""
+def commonest_words(rows: DataFrame, n: int = FREQUENT - 1) -> tuple[list[bytes], int]:
+    """The words to treat as frequent, from the training rows, and the number of words of all rows.
+
+    A task's counter is thinned out from below when it is full, so counts of rare words may be too low here; this choice
+    decides by which way a word is counted, exactly, later on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, least = Counter(), 1
+        counter, least, total = Counter(), 1, 0
         for batch in batches:
-            for text in batch.column(0):
-                counter.update(words_of(text.as_py()))
+            for train, text in zip(batch.column(0), batch.column(1)):
+                words = words_of(text.as_py())
+                total += len(words)
+                if not train.as_py():
+                    continue
+                counter.update(words)
                 while len(counter) > COUNTED_WORDS:
                     counter = Counter({w: c for w, c in counter.items() if c > least})
                     least += 1
-        top = counter.most_common(2 * n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in top], pa.binary()), pa.array([c for _, c in top], pa.int64())], ["word", "n"]
-        )
-
-    counted = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(row["word"]) for row in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
-
-
-def tokenize(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """``TOKENS``: per row a number ``rid``, frequent tokens as context * FREQUENT + code, and the others as word hash
-    and place, the latter rid, context and whether the row trains, in one number."""
+        top = counter.most_common(8 * n)
+        yield _rows("word binary, n long", [[w for w, _ in top] + [None], [c for _, c in top] + [total]])
+
+    counted = rows.select("train", "text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(n + 1).collect()
+    words = [bytes(row["word"]) for row in found if row["word"] is not None]
+    return words[:n], sum(row["n"] for row in found if row["word"] is None)
+
+
+def tokenize(docs: DataFrame, frequent: list[bytes], buckets: int) -> DataFrame:
+    """``TOKENS``, two kinds of rows.  Per document a number ``rid``, and its pairs of frequent words as context *
+    FREQUENT + code.  Per bucket all other occurrences of some documents, sorted: words, how often each is there, their
+    contexts, and their places, that is rid and whether the document trains, in one number."""
+
+    def dealt(held: list) -> pa.RecordBatch:
+        word, context, place = (np.concatenate(x) for x in zip(*held))
+        bucket = _bucket(np.where(word < 0, word, context), buckets)
+        order = np.lexsort((context, word, bucket))
+        word, context, place, bucket = word[order], context[order], place[order], bucket[order]
+        starts = _starts(bucket)
+        rows = []
+        for begin, end in zip(starts, np.append(starts[1:], len(word))):
+            words, sizes = np.unique(word[begin:end], return_counts=True)
+            rows.append([bucket[begin], packed(words, sizes, *_coded(context[begin:end]), place[begin:end])])
+        return _rows(TOKENS, [None] * 5 + list(zip(*rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, rid = WordCodes(frequent), TaskContext.get().partitionId() << 31
-        names = [part.split()[0] for part in TOKENS.split(", ")]
+        held, n_held = [], 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                rids, sizes, common, rare, places, ends = [], [], [], [], [], [0]
+                rids, sizes, common = [], [], []
                 for train, text in zip(part.column(1), part.column(2)):
                     words = words_of(text.as_py())
                     code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
                     code = np.append(code, END)
-                    context = np.empty(len(code), dtype=np.int64)
-                    context[0] = START
-                    context[1:] = np.where((code[:-1] > 0) & (code[:-1] < CONTEXTS), code[:-1], 0)
-                    known = code >= 0
+                    context = np.append(START, code[:-1])
+                    both = (code >= 0) & (context >= 0)
                     rids.append(rid)
                     sizes.append(len(code))
-                    common.append((context[known] * FREQUENT + code[known]).astype(np.int32).tobytes())
-                    rare.append(code[~known])
-                    places.append((rid << 8) + (context[~known] << 1) + int(train.as_py()))
-                    ends.append(ends[-1] + len(rare[-1]))
+                    common.append((context[both] * FREQUENT + code[both]).astype(np.int32).tobytes())
+                    rare = ~both
+                    n = int(rare.sum())
+                    if n:
+                        held.append((code[rare], context[rare], np.full(n, (rid << 1) + int(train.as_py()))))
+                        n_held += n
                     rid += 1
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x), pa.int64()))
-                    for x in (rare, places)
-                ]
-                head = [pa.array(rids, pa.int64()), part.column(0), part.column(1), pa.array(sizes, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(common, pa.binary()), *lists], names)
+                yield _rows(TOKENS, [rids, part.column(0), part.column(1), sizes, common, None, None])
+                if n_held >= HELD_TOKENS:
+                    yield dealt(held)
+                    held, n_held = [], 0
+        if held:
+            yield dealt(held)
 
     return docs.mapInArrow(run, TOKENS)
 
 
 def frequent_cells(tokens: DataFrame) -> DataFrame:
-    """(cell, n) of the frequent words in the training rows."""
+    """``PAIRS``: the pairs of frequent words in the training rows and how often a task has read them, by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS + 1) * FREQUENT, dtype=np.int64)
+        total = np.zeros((CONTEXTS + 1) * FREQUENT, dtype=np.uint32)  # a task reads fewer pairs than that can count
         for batch in batches:
             held = b"".join(cells.as_py() for cells in batch.column(0))
             cells, n = np.unique(np.frombuffer(held, np.int32), return_counts=True)
-            total[cells] += n
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], ["cell", "n"])
+            total[cells] += n.astype(np.uint32)
+        cells = np.flatnonzero(total).astype(np.int32)
+        cells = cells[np.argsort((cells % PAIR_BUCKETS).astype(np.int16), kind="stable")]
+        starts = _starts(cells % PAIR_BUCKETS)
+        for begin, end in zip(starts, np.append(starts[1:], len(cells))):
+            part = cells[begin:end]
+            yield _rows(PAIRS, [[part[0] % PAIR_BUCKETS], [packed(np.diff(part, prepend=0), total[part])]])
 
-    summed = tokens.where("train").select("frequent").mapInArrow(run, "cell long, n long")
-    return summed.groupBy("cell").agg(F.sum("n").alias("n"))
+    return tokens.where("bucket IS NULL AND train").select("frequent").mapInArrow(run, PAIRS)
 
 
-def _block(word: np.ndarray, context: np.ndarray, n: np.ndarray, seen: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A block from sorted cells (word, context, customers); ``seen``: occurrences to score per word, at ``places``.
+def _block(
+    word: np.ndarray, context: np.ndarray, n: np.ndarray, seen: np.ndarray, places: np.ndarray, block: int = 0
+) -> pa.RecordBatch:
+    """A block from sorted cells (word, context, customers); ``seen``: occurrences to score per cell, at ``places``.
 
-    Words without customers are there with a cell of none."""
+    Pairs without customers are there with a cell of none."""
     words, first = np.unique(word, return_index=True)
     sizes = np.diff(np.append(first, len(word)))
     counts = np.add.reduceat(n, first) if len(word) else np.zeros(0, np.int64)
+    used = np.add.reduceat((n > 0).astype(np.int64), first) if len(word) else counts
     totals = np.zeros(N_TOTALS)
-    m = CONTEXTS + 1
-    totals[:m] = np.bincount(context, weights=n, minlength=m)
-    totals[m : 2 * m] = np.bincount(context, weights=n > 0, minlength=m)
-    totals[2 * m :] = [
-        (n > 0).sum(), (counts > 0).sum(), (counts > 0).sum(), counts.sum(),
-        (n == 1).sum(), (n == 2).sum(), (counts == 1).sum(), (counts == 2).sum(),
+    m, near, rare = CONTEXTS + 1, context >= 0, words < 0
+    totals[:m] = np.bincount(context[near], weights=n[near], minlength=m)
+    totals[m : 2 * m] = np.bincount(context[near], weights=n[near] > 0, minlength=m)
+    known = (counts[rare] > 0).sum()
+    totals[2 * m : 2 * m + 8] = [
+        (n > 0).sum(), known, known, n.sum(),
+        (n == 1).sum(), (n == 2).sum(), (counts[rare] == 1).sum(), (counts[rare] == 2).sum(),
     ]
-    blobs = [words, counts, sizes, context, n, seen, places]
-    columns = [pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in blobs]
-    names = [part.split()[0] for part in BLOCK.split(", ")]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([totals.tolist()], pa.list_(pa.float64()))], names)
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[np.ndarray]:
-    held = [[np.zeros(0, np.int64)] for _ in range(columns)]
-    for batch in batches:
-        for k in range(columns):
-            held[k].append(batch.column(k).to_numpy(zero_copy_only=False))
-    return [np.concatenate(x) for x in held]
+    of_words = totals[2 * m + 8 :].reshape(3, FREQUENT)
+    of_words[0, words[~rare]], of_words[1, words[~rare]] = counts[~rare], used[~rare]
+    blobs = [[packed(*x)] for x in ([words], [counts], [sizes], _coded(context), [n], [seen], [places])]
+    return _rows(BLOCK, [*blobs, [totals.tolist()], [block]])
 
 
 def rare_blocks(tokens: DataFrame, parts: int) -> DataFrame:
-    """Blocks of the words that are not frequent; a word lies in one block."""
+    """Blocks of the pairs with a word that is not frequent; a pair, and a rare word, lies in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, place = _gathered(batches, 2)
-        if not len(word):
+        held = []
+        for batch in batches:
+            for pairs in batch.column(1):
+                words, sizes, contexts, at, place = unpacked(pairs.as_py())
+                held.append((np.repeat(words, sizes), contexts[at], place))
+        if not held:
             return
-        order = np.lexsort((place >> 1 & 127, word))
-        word, place = word[order], place[order]
-        context = place >> 1 & 127
-        fresh = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))
-        cells = np.flatnonzero(fresh)
-        n = np.add.reduceat(place & 1, cells)
-        _, seen = np.unique(word, return_counts=True)
-        yield _block(word[cells], context[cells], n, seen, place)
+        word, context, place = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, context, word))
+        word, context, place = word[order], context[order], place[order]
+        cells = _starts(word, context)
+        n, seen = np.add.reduceat(place & 1, cells), np.diff(np.append(cells, len(word)))
+        # from here on a rare word is known by its number in the block, below 0
+        names, number = np.unique(word[cells], return_inverse=True)
+        word = np.where(word[cells] < 0, number - (names < 0).sum(), word[cells])
+        yield _block(word, context[cells], n, seen, place >> 1, TaskContext.get().partitionId())
 
-    rows = tokens.select(F.explode(F.arrays_zip("rare", "places")).alias("x")).select("x.rare", "x.places")
-    return rows.repartition(parts, "rare").mapInArrow(run, BLOCK)
+    rows = tokens.where("bucket IS NOT NULL").select("bucket", "pairs")
+    return rows.repartition(parts, "bucket").mapInArrow(run, BLOCK)
 
 
 def frequent_blocks(cells: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, n = _gathered(batches, 2)
-        if not len(cell):
+        held = [unpacked(pairs.as_py()) for batch in batches for pairs in batch.column(1)]
+        if not held:
             return
+        cell, at = np.unique(np.concatenate([np.cumsum(steps) for steps, _ in held]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
         word, context = cell % FREQUENT, cell // FREQUENT
         order = np.lexsort((context, word))
-        word = word[order]
         nothing = np.zeros(0, np.int64)
-        yield _block(word, context[order], n[order], nothing, nothing)
+        yield _block(word[order], context[order], n[order], nothing, nothing)
 
-    return cells.repartition(parts, F.col("cell") % FREQUENT).mapInArrow(run, BLOCK)
+    return cells.repartition(parts, "bucket").mapInArrow(run, BLOCK)
 
 
 def seat(
@@ -243,16 +321,19 @@ def seat(
 
 
 class Restaurants:
-    """Discounts and the totals of all restaurants, from the sums over all blocks."""
+    """Discounts and the totals of the frequent restaurants, from the sums over all blocks."""
 
     def __init__(self, totals: np.ndarray):
         m = CONTEXTS + 1
         self.customers, self.tables = totals[:m], totals[m : 2 * m]
-        self.root_customers, self.root_tables, self.words, self.tokens = totals[2 * m : 2 * m + 4]
-        ones, twos, word_ones, word_twos = totals[2 * m + 4 :]
+        self.root_customers, self.root_tables, words, self.tokens = totals[2 * m : 2 * m + 4]
+        ones, twos, word_ones, word_twos = totals[2 * m + 4 : 2 * m + 8]
+        self.counts, self.at_root, tables = totals[2 * m + 8 :].reshape(3, FREQUENT)
+        self.words = words + (self.counts > 0).sum()
         self.discount = self.estimate(ones, twos)
-        self.root_discount = self.estimate(word_ones, word_twos)
+        self.root_discount = self.estimate(word_ones + (self.counts == 1).sum(), word_twos + (self.counts == 2).sum())
         self.base = 1.0 / (self.words + 1.0)
+        self.root = self.root_probability(self.at_root, tables)
 
     @staticmethod
     def estimate(ones: float, twos: float) -> float:
@@ -262,26 +343,52 @@ class Restaurants:
     def new_table(self) -> np.ndarray:
         return STRENGTH + self.discount * self.tables
 
+    def new_root_table(self) -> float:
+        return (STRENGTH + self.root_discount * self.root_tables) * self.base
+
     def root_probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
         new = STRENGTH + self.root_discount * self.root_tables
         return (customers - self.root_discount * tables + new * self.base) / (STRENGTH + self.root_customers)
 
 
 class Seating:
-    """The customers of a block's words, and Gibbs sweeps over them."""
+    """The customers of a block's words, and sweeps over them.  ``told`` has the totals of the block's rare contexts."""
 
-    def __init__(self, block: dict, house: Restaurants, seed: int):
-        get = {k: np.frombuffer(v, np.int64) for k, v in block.items()}
+    def __init__(self, block: dict, house: Restaurants, seed: int, told: list[dict] | None = None, owners: int = 1):
+        get = {k: unpacked(block[k])[0] for k in ("words", "counts", "sizes", "customers", "seen", "places")}
         self.words, self.counts, self.sizes = get["words"], get["counts"], get["sizes"]
-        self.context, self.customers = get["contexts"], get["customers"]
+        contexts, at = unpacked(block["contexts"])
+        self.context, self.customers = contexts[at], get["customers"]
         self.seen, self.places = get["seen"], get["places"]
         self.house = house
         self.word = np.repeat(np.arange(len(self.words)), self.sizes)
-        self.random = np.random.default_rng([seed, int(self.words[0]) & (2**63 - 1)])
+        self.random = np.random.default_rng([seed, block["block"], *(int(x) & (2**63 - 1) for x in (self.words[0], self.context[0]))])
         self.tables = np.minimum(self.customers, 1).astype(np.float64)
         self.logs = None
         self.root_tables = np.minimum(self.counts, 1).astype(np.float64)
         self.many = np.flatnonzero(self.customers > 1)
+        self.own = np.flatnonzero(self.words < 0)  # all customers of a rare word are here, so it is seated at the root too
+        far = self.context < 0
+        self.rare, at = np.unique(self.context[far], return_inverse=True)
+        m = CONTEXTS + 1
+        self.slot = self.context.copy()
+        self.slot[far] = m + at
+        customers, tables = (np.append(x, np.zeros(len(self.rare))) for x in (house.customers, house.tables))
+        owned = self.by_owner(owners) if told else {}
+        for part in told or []:
+            where = m + owned[part["owner"]]
+            customers[where], tables[where] = unpacked(part["totals"])
+            tables[where] /= SAMPLES
+        self.in_context, self.new_table = customers, STRENGTH + house.discount * tables
+
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the cells, for the frequent contexts and then the block's rare ones."""
+        return np.bincount(self.slot, weights=values, minlength=CONTEXTS + 1 + len(self.rare))
+
+    def root(self) -> np.ndarray:
+        """Root probabilities of the words; a frequent word's is that of the last synchronisation."""
+        p = self.house.root_probability(self.root_customers(), self.root_tables)
+        return np.where(self.words < 0, p, self.house.root[np.maximum(self.words, 0)])
 
     def root_customers(self) -> np.ndarray:
         return np.bincount(self.word, weights=self.tables, minlength=len(self.words))
@@ -294,124 +401,211 @@ class Seating:
 
     def sweep(self) -> None:
         house, many = self.house, self.many
-        root = house.root_probability(self.root_customers(), self.root_tables)
-        weight = house.new_table()[self.context[many]] * root[self.word[many]]
+        weight = self.new_table[self.slot[many]] * self.root()[self.word[many]]
         tables, logs = seat(self.customers[many], weight, house.discount, self.random)
         better = self.accept(self.logs, logs)
         self.logs = logs if self.logs is None else np.where(better, logs, self.logs)
         self.tables[many[better]] = tables[better]
-        new = (STRENGTH + house.root_discount * house.root_tables) * house.base
-        at_root = self.root_customers().astype(np.int64)
-        tables, _ = seat(at_root, np.full(len(at_root), new), house.root_discount, self.random)
+        at_root = self.root_customers()[self.own].astype(np.int64)
+        tables, _ = seat(at_root, np.full(len(at_root), house.new_root_table()), house.root_discount, self.random)
         # the customers of the root change in every sweep, so its seating is drawn anew
-        self.root_tables = tables
+        self.root_tables[self.own] = tables
 
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Mean totals of tables, mean root probability per word and mean probability per cell, over the samples."""
-        house, m = self.house, CONTEXTS + 1
-        totals, root, cell = np.zeros(m + 2), np.zeros(len(self.words)), np.zeros(len(self.word))
+        """Mean totals of tables, tables per rare context summed over the samples, and mean probability per cell."""
+        m = CONTEXTS + 1
+        totals, rare, cell = np.zeros(m + 2 + FREQUENT), np.zeros(len(self.rare)), np.zeros(len(self.word))
+        near = np.flatnonzero(self.words >= 0)
         for number in range(BURN_IN + SAMPLES):
             self.sweep()
             if number < BURN_IN:
                 continue
-            at_root = self.root_customers()
-            totals[:m] += np.bincount(self.context, weights=self.tables, minlength=m)
-            totals[m:] += at_root.sum(), self.root_tables.sum()
-            p = house.root_probability(at_root, self.root_tables)
-            own = np.where(self.customers > 0, self.customers - house.discount * self.tables, 0.0)
-            root += p
-            cell += (own + house.new_table()[self.context] * p[self.word]) / (STRENGTH + house.customers[self.context])
-        return totals / SAMPLES, root / SAMPLES, cell / SAMPLES
+            at_root, in_context = self.root_customers(), self.by_context(self.tables)
+            totals[:m] += in_context[:m]
+            rare += in_context[m:]
+            totals[m : m + 2] += at_root.sum(), self.root_tables[self.own].sum()
+            totals[m + 2 + self.words[near]] += at_root[near]
+            own = np.where(self.customers > 0, self.customers - self.house.discount * self.tables, 0.0)
+            cell += (own + self.new_table[self.slot] * self.root()[self.word]) / (STRENGTH + self.in_context[self.slot])
+        return totals / SAMPLES, rare, cell / SAMPLES
+
+    def by_owner(self, owners: int) -> dict[int, np.ndarray]:
+        """Which of the block's rare contexts an owner has."""
+        owner = _bucket(self.rare, owners)
+        order = np.argsort(owner, kind="stable")
+        starts = _starts(owner[order])
+        return {int(owner[part[0]]): part for part in np.split(order, starts[1:]) if len(part)}
+
+    def telling(self, rare_tables: np.ndarray, block: int, owners: int) -> pa.RecordBatch:
+        """``TELLING``: this block's customers and tables (times SAMPLES) in its rare contexts, by their owner."""
+        customers = self.by_context(self.customers)[CONTEXTS + 1 :]
+        rows = [
+            (owner, block, packed(self.rare[part], customers[part], rare_tables[part]))
+            for owner, part in self.by_owner(owners).items()
+        ]
+        return _rows(TELLING, list(zip(*rows)) if rows else [[], [], []])
 
 
 def _blocks_of(batch: pa.RecordBatch) -> Iterator[dict]:
-    names = [part.split()[0] for part in BLOCK.split(", ")][:-1]
     for row in range(batch.num_rows):
-        yield {name: batch.column(k)[row].as_py() for k, name in enumerate(names)}
+        yield {name: batch.column(k)[row].as_py() for k, name in enumerate(batch.schema.names) if name != "totals"}
+
+
+def exchange(tellings: DataFrame, parts: int) -> DataFrame:
+    """From what blocks tell of their rare contexts, (block, told) with the totals of these contexts over all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        by_owner = {}
+        for row in rows:
+            by_owner.setdefault(row["owner"], []).append((row["block"], unpacked(row["totals"])))
+        for owner, tellings in by_owner.items():
+            contexts, customers, tables = (np.concatenate(x) for x in zip(*[told for _, told in tellings]))
+            _, at = np.unique(contexts, return_inverse=True)
+            sums = [np.bincount(at, weights=x)[at] for x in (customers, tables)]
+            ends = np.cumsum([len(told[0]) for _, told in tellings])[:-1]
+            told = [packed(*x) for x in zip(*[np.split(s, ends) for s in sums])]
+            yield _rows(TOLD, [[block for block, _ in tellings], [owner] * len(told), told])
+
+    replies = tellings.repartition(parts, "owner").mapInArrow(run, TOLD)
+    return replies.groupBy("block").agg(F.collect_list(F.struct("owner", "totals")).alias("told"))
+
+
+def first_tellings(blocks: DataFrame, house: Restaurants, owners: int) -> DataFrame:
+    """What blocks tell while every customer of a pair sits at one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in _blocks_of(batch):
+                seating = Seating(block, house, 0)
+                tables = SAMPLES * seating.by_context(seating.tables)[CONTEXTS + 1 :]
+                yield seating.telling(tables, block["block"], owners)
+
+    return _cells_of(blocks).mapInArrow(run, TELLING)
+
+
+def _cells_of(blocks: DataFrame) -> DataFrame:
+    """Blocks without occurrences to score."""
+    nothing = F.lit(packed(np.zeros(0, np.int64)))
+    return blocks.drop("totals").withColumn("seen", nothing).withColumn("places", nothing)
 
 
 def _summed(lists: DataFrame) -> np.ndarray:
-    """The elementwise sum of a column ``totals`` of equally long arrays."""
-    rows = lists.select(F.posexplode("totals").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
-    found = {row["at"]: row["value"] for row in rows.collect()}
-    return np.array([found.get(at, 0.0) for at in range(max(found, default=-1) + 1)])
+    """The elementwise sum of a column ``totals`` of equally long arrays, by slices."""
+    schema = "slice long, sums binary"
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            for totals in batch.column(0):
+                total = total + totals.values.to_numpy()
+        if np.ndim(total):
+            parts = np.array_split(total, SLICES)
+            yield _rows(schema, [list(range(SLICES)), [part.tobytes() for part in parts]])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[at] = sums.get(at, 0.0) + np.frombuffer(part.as_py())
+        yield _rows(schema, [list(sums), [part.tobytes() for part in sums.values()]])
+
+    parts = lists.select("totals").mapInArrow(sliced, schema).repartition(SLICES, "slice").mapInArrow(added, schema)
+    found = {row["slice"]: np.frombuffer(row["sums"]) for row in parts.collect()}
+    return np.concatenate([np.zeros(0), *(found[at] for at in sorted(found))])
+
 
+def sample_tables(blocks: DataFrame, house: Restaurants, seed: int, owners: int) -> DataFrame:
+    """A round of sweeps: rows with sums of tables, and ``TELLING`` rows."""
+    schema = f"sums array<double>, {TELLING}"
 
-def sample_tables(blocks: DataFrame, house: Restaurants, seed: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch):
-                totals = Seating(block, house, seed).run()[0]
-                yield pa.RecordBatch.from_arrays([pa.array([totals.tolist()], pa.list_(pa.float64()))], ["totals"])
+                seating = Seating(block, house, seed, block["told"], owners)
+                totals, rare, _ = seating.run()
+                yield _rows(schema, [[totals.tolist()], None, None, None])
+                told = seating.telling(rare, block["block"], owners)
+                yield _rows(schema, [None, *told.columns])
 
-    return _summed(blocks.mapInArrow(run, "totals array<double>"))
+    return blocks.mapInArrow(run, schema)
 
 
-def frequent_probabilities(blocks: DataFrame, house: Restaurants, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of probabilities by context * FREQUENT + code, and counts by code, of the frequent words."""
+def with_told(blocks: DataFrame, told: DataFrame) -> DataFrame:
+    return blocks.join(grows(told), "block", "left")
+
+
+def seat_frequent(totals: np.ndarray, seed: int) -> Restaurants:
+    """Seats the frequent words' customers at the root, and adds their tables to the totals."""
+    house, m = Restaurants(totals), CONTEXTS + 1
+    tables = np.minimum(house.at_root, 1.0)
+    totals[2 * m + 1] += tables.sum()
+    new = np.full(FREQUENT, Restaurants(totals).new_root_table())
+    drawn, _ = seat(np.rint(house.at_root).astype(np.int64), new, house.root_discount, np.random.default_rng(seed))
+    totals[2 * m + 1] += drawn.sum() - tables.sum()
+    totals[2 * m + 8 + 2 * FREQUENT :] = drawn
+    return Restaurants(totals)
+
+
+def frequent_probabilities(blocks: DataFrame, house: Restaurants, seed: int) -> np.ndarray:
+    """log10 of probabilities by context * FREQUENT + code of the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch):
                 seating = Seating(block, house, seed)
-                _, root, cell = seating.run()
-                code = seating.words[seating.word]
-                both = [
-                    np.concatenate([seating.words, seating.context * FREQUENT + code + FREQUENT]),
-                    np.concatenate([root, cell]),
-                    np.concatenate([seating.counts, seating.customers]),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[0], pa.int64()), pa.array(both[1], pa.float64()), pa.array(both[2], pa.int64())],
-                    ["cell", "p", "n"],
-                )
-
-    found = blocks.mapInArrow(run, "cell long, p double, n long").toArrow()
-    cell, p, n = (found.column(k).to_numpy() for k in range(3))
-    words = cell < FREQUENT
-    root = np.full(FREQUENT, house.root_probability(np.zeros(1), np.zeros(1))[0])
-    counts = np.zeros(FREQUENT)
-    root[cell[words]], counts[cell[words]] = p[words], n[words]
+                cell = seating.context * FREQUENT + seating.words[seating.word]
+                p = np.log10(seating.run()[2])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(p, pa.float32())], ["cell", "p"])
+
+    found = _cells_of(blocks).mapInArrow(run, "cell int, p float").toArrow()
     unseen = house.new_table() / (STRENGTH + house.customers)
-    table = (unseen[:, None] * root[None, :]).ravel()
-    table[cell[~words] - FREQUENT] = p[~words]
-    return np.log10(table).astype(np.float32), counts
+    table = np.add.outer(np.log10(unseen).astype(np.float32), np.log10(house.root).astype(np.float32)).ravel()
+    table[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return table
 
 
 PARTS = "rid long, doc_id long, train boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _part_rows(columns: list) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    names = [part.split()[0] for part in PARTS.split(", ")]
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types)], names)
-
-
-def rare_scores(blocks: DataFrame, house: Restaurants, seed: int) -> DataFrame:
-    """A row per occurrence of a word that is not frequent; Spark sums them by document before it shuffles."""
+def rare_scores(blocks: DataFrame, house: Restaurants, seed: int, owners: int) -> DataFrame:
+    """``PARTS`` of the pairs with a rare word: a block's sums by document go to the document's owner, who adds them up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks_of(batch):
-                seating = Seating(block, house, seed)
-                _, _, cell = seating.run()
-                word = np.repeat(np.arange(len(seating.words)), seating.seen)
-                context = seating.places >> 1 & 127
-                key = word * 128 + context  # sorted, like the cells; every occurrence has its cell
-                at = np.searchsorted(seating.word * 128 + seating.context, key)
-                count = seating.counts[word]
-                rid, known = seating.places >> 8, (count > 0).astype(np.int64)
-                base, score = np.log10(count + 1.0), np.log10(cell[at])
-                for begin in range(0, len(rid), 100_000):
-                    p = slice(begin, begin + 100_000)
-                    yield _part_rows([rid[p], None, None, None, known[p], base[p], score[p]])
+                seating = Seating(block, house, seed, block["told"], owners)
+                score = np.log10(seating.run()[2])
+                counts = np.where(seating.words < 0, seating.counts, house.counts[np.maximum(seating.words, 0)])
+                at = np.repeat(np.arange(len(score)), seating.seen)
+                word = seating.word[at]
+                rid, place = np.unique(seating.places, return_inverse=True)
+                known = np.bincount(place, weights=counts[word] > 0)
+                sums = [np.rint(DIGITS * np.bincount(place, weights=x)) for x in (np.log10(counts + 1.0)[word], score[at])]
+                owner = _bucket(rid * 0x9E3779B97F4A7C1, owners)
+                order = np.argsort(owner, kind="stable")
+                rows = [
+                    (owner[part[0]], packed(np.diff(rid[part], prepend=0), *(x[part] for x in (known, *sums))))
+                    for part in np.split(order, _starts(owner[order])[1:])
+                ]
+                yield _rows(SUMS, list(zip(*rows)))
 
-    return blocks.mapInArrow(run, PARTS)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [unpacked(sums.as_py()) for batch in batches for sums in batch.column(1)]
+        if not held:
+            return
+        rids, *values = (np.concatenate(x) for x in zip(*[(np.cumsum(steps), *rest) for steps, *rest in held]))
+        rid, at = np.unique(rids, return_inverse=True)
+        known, base, score = (np.bincount(at, weights=x) for x in values)
+        for begin in range(0, len(rid), 100_000):
+            p = slice(begin, begin + 100_000)
+            yield _rows(PARTS, [rid[p], None, None, None, known[p].astype(np.int64), base[p] / DIGITS, score[p] / DIGITS])
+
+    return blocks.mapInArrow(run, SUMS).repartition(owners, "owner").mapInArrow(added, PARTS)
 
 
 def frequent_scores(tokens: DataFrame, logs: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """Sums per row over the frequent words; the tables have a fixed size."""
+    """Sums per row over the pairs of frequent words; the tables have a fixed size."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast((logs, counts > 0, np.log10(counts + 1.0)))
 
@@ -424,9 +618,9 @@ def frequent_scores(tokens: DataFrame, logs: np.ndarray, counts: np.ndarray) ->
                 code = cell % FREQUENT
                 rows.append((int(known[code].sum()), float(log_count[code].sum()), float(log_p[cell].sum(dtype=np.float64))))
             known_n, base, score = zip(*rows) if rows else ((), (), ())
-            yield _part_rows([*batch.columns[:4], known_n, base, score])
+            yield _rows(PARTS, [*batch.columns[:4], known_n, base, score])
 
-    return tokens.select("rid", "doc_id", "train", "n_tokens", "frequent").mapInArrow(run, PARTS)
+    return tokens.where("bucket IS NULL").select("rid", "doc_id", "train", "n_tokens", "frequent").mapInArrow(run, PARTS)
 
 
 def score_documents(docs: DataFrame, train: Column, seed: int = 3) -> DataFrame:
@@ -440,22 +634,29 @@ def score_documents(docs: DataFrame, train: Column, seed: int = 3) -> DataFrame:
     """
     store = StoredTables(docs.sparkSession, "language-model")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_of().alias("text"))
-    frequent = commonest_words(rows.where("train").select("text"))
-    tokens = store.put(tokenize(rows, frequent), "tokens")
-    rare = tokens.agg(F.sum(F.size("rare")).alias("n")).first()["n"] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rare // TASK_TOKENS))
+    frequent, words = commonest_words(rows)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_TOKENS))
+    tokens = store.put(tokenize(rows, frequent, BUCKETS * parts), "tokens")
     rare_part = store.put(rare_blocks(tokens, parts), "rare")
     frequent_part = store.put(frequent_blocks(frequent_cells(tokens), min(parts, 64)), "frequent")
     totals = _summed(rare_part.unionByName(frequent_part).select("totals"))
     totals = totals if len(totals) else np.zeros(N_TOTALS)
-    house, m = Restaurants(totals), CONTEXTS + 1
+    house, m = seat_frequent(totals, seed), CONTEXTS + 1
+    told = store.put(exchange(first_tellings(rare_part, house, parts), parts), "told-0")
     for number in range(ROUNDS - 1):
-        tables = sample_tables(rare_part.unionByName(frequent_part), house, seed + number)
+        cells = with_told(_cells_of(rare_part), told)
+        pairs = _cells_of(frequent_part).withColumn("told", F.lit(None).cast(told.schema["told"].dataType))
+        sampled = store.put(sample_tables(cells.unionByName(pairs), house, seed + number, parts), f"sampled-{number}")
+        tables = _summed(sampled.where("sums IS NOT NULL").select(F.col("sums").alias("totals")))
         if len(tables):
-            totals[m : 2 * m], totals[2 * m : 2 * m + 2] = tables[:m], tables[m:]
-        house = Restaurants(totals)
-    logs, counts = frequent_probabilities(frequent_part, house, seed + ROUNDS)
-    scored = frequent_scores(tokens, logs, counts).unionByName(rare_scores(rare_part, house, seed + ROUNDS))
+            totals[m : 2 * m], totals[2 * m : 2 * m + 2] = tables[:m], tables[m : m + 2]
+            totals[2 * m + 8 + FREQUENT : 2 * m + 8 + 2 * FREQUENT] = tables[m + 2 :]
+        house = seat_frequent(totals, seed + number)
+        told = store.put(exchange(sampled.where("owner IS NOT NULL").drop("sums"), parts), f"told-{number + 1}")
+        store.drop(f"told-{number}", f"sampled-{number}")
+    logs = frequent_probabilities(frequent_part, house, seed + ROUNDS)
+    rare = rare_scores(with_told(rare_part.drop("totals"), told), house, seed + ROUNDS, parts)
+    scored = frequent_scores(tokens, logs, house.counts).unionByName(rare)
     sums = scored.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("train").alias("trains"),

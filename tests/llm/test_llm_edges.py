@@ -4,6 +4,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,39 @@ def test_predictive_probabilities_sum_to_one():
         assert (seating.tables <= customers).all() and (seating.tables >= 1).all()
 
 
+def test_every_previous_word_has_its_restaurant(spark):
+    """Word n is always followed by its partner, also where neither is frequent."""
+    n = language_model.FREQUENT
+    pairs = [f"w{i} p{i}" for i in range(n)]
+    texts = [" ".join(pairs[i : i + 8] * 3) for i in range(0, n, 8)]
+    docs = spark.createDataFrame([*enumerate(texts), *enumerate(texts, n)], "doc_id long, text string")
+    got = language_model.score_documents(docs, F.col("doc_id") < n).where("NOT trains").collect()
+    assert len(got) == n // 8 and all(r["n_known"] == r["n_tokens"] == 49 for r in got)
+    # each word but the last has one successor; where contexts are shared, a word is one of 8192
+    assert max(r["perplexity"] for r in got) < 20
+
+
+def test_probabilities_behind_a_rare_word_sum_to_one(spark):
+    context, word = np.array([-9, -9, 4, -9, -7]), np.array([-5, -3, -3, 2, 2])
+    order = np.lexsort((context, word))
+    context, word, n, none = context[order], word[order], np.array([4, 1, 2, 3, 1]), np.zeros(0, np.int64)
+    blocks = [language_model._block(word[w], context[w], n[w], none, none, b) for b, w in enumerate((word < 0, word > 0))]
+    house = language_model.seat_frequent(np.sum([b.column(7)[0].as_py() for b in blocks], axis=0), 1)
+    table = spark.createDataFrame(pa.Table.from_batches(blocks))
+    told = language_model.exchange(language_model.first_tellings(table, house, 2), 2)
+    by = {r["block"]: r["told"] for r in told.collect()}
+    seatings = [language_model.Seating(next(language_model._blocks_of(b)), house, 1, [t.asDict() for t in by[k]], 2) for k, b in enumerate(blocks)]
+    mass, root, new = 0.0, 0.0, None
+    for s in seatings:
+        at = s.context == -9
+        assert (s.in_context[s.slot[at]] == n[context == -9].sum()).all()
+        new = s.new_table[s.slot[at]][0]
+        mass += (s.customers[at] - house.discount * s.tables[at]).sum()
+        root += s.root().sum()
+    root += house.root_probability(np.zeros(1), np.zeros(1))[0]
+    assert root == pytest.approx(1.0) and mass + new * root == pytest.approx(language_model.STRENGTH + n[context == -9].sum())
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", "<<SYS>>\n<</SYS>>", "[\\INST] <\\\\/s>", "", None, "x [", "<", " "]
     rows = [(1, n, ("user", "assistant")[n % 2], t) for n, t in enumerate(tricky)]
