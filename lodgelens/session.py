@@ -6,6 +6,7 @@ import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A task that writes a table in a few parts keeps a file open for each and need not sort its rows first.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 # Settings that only a new session takes.  Call-site capture costs several JVM round trips per column function
 # while a plan is built.
@@ -92,11 +95,21 @@ class StoredTables:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{label}")
+    def put(self, df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+        """``by`` names columns that get a folder per value, ``label/column=value``, which can be dropped by itself."""
+        df.write.partitionBy(*by).parquet(f"{self.folder}/{label}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
 
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether ``df`` still reads one of these tables."""
+        name = self.folder.rsplit("/", 1)[-1]
+        return any(f"/{name}/" in file for file in df.inputFiles())
+
+    def clear(self) -> None:
+        """Delete all of these tables."""
+        self.drop("")
+
     def drop(self, *labels: str) -> None:
         for label in labels:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
