@@ -55,15 +55,15 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words are cached here
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = _byte_letters()
 
     def encode(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "replace")
-        if any(mark in raw for mark in self.special):
-            return self.whole(text)
         # bytes: only A-Z and ASCII blanks count here; the tokenizer itself lower-cases the rest
-        return b"".join(map(self.__getitem__, raw.lower().split()))
+        raw = text.encode("utf-8", "replace").lower()
+        if any(mark in raw for mark in self.special):  # also in other case, which the tokenizer takes for plain text
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, raw.split()))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

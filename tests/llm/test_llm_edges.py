@@ -331,3 +331,45 @@ def test_neighbours(spark):
     few = neighbours.search(spark.createDataFrame(good[:3], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
     assert few.count() == 2
     assert neighbours.search(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_packing_takes_special_strings_in_other_case_as_text(spark):
+    """Every special string as it is, in upper and in mixed case: the ids are the given tokenizer's."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_path())
+    marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    texts = [f"A {form} b{form}c" for mark in marks for form in (mark, mark.upper(), mark.title(), mark.swapcase())]
+    encoder = packing.WordEncoder(registry.tokenizer_path())
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(docs, registry.tokenizer_path()).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {
+        n: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for n, t in enumerate(texts)
+    }
+
+
+def test_packing_query_has_every_id_of_every_document(spark):
+    """The query over all documents: each piece's crc32 is that of its part of the tokenizer's ids; sequences have no gap."""
+    import duckdb
+    from conftest import TESTDATA
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_path())
+    texts = dict(duckdb.sql(f"select doc_id, coalesce(text, '') from '{TESTDATA}/documents.parquet'").fetchall())
+    ids = {n: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for n, t in texts.items()}
+    by_doc, by_sequence = {}, {}
+    for r in registry.op10_packing(spark, TESTDATA).collect():
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert zlib.crc32(np.array(part, "<u4").tobytes()) == r["ids_crc32"]
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces, whole in [(by_doc[n], len(ids[n])) for n in ids] + [(s, None) for s in by_sequence.values()]:
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == whole or whole is None and at <= packing.WINDOW
