@@ -23,6 +23,7 @@ import driver_sql  # noqa: E402
 from lodgelens.plans import (  # noqa: E402
     daily,
     funnel,
+    grid,
     leadtime,
     monitor,
     occupancy,
@@ -34,7 +35,7 @@ from lodgelens.plans import (  # noqa: E402
     upsell,
     visits,
 )
-from lodgelens.session import configure  # noqa: E402
+from lodgelens.session import configure, cut_lineage  # noqa: E402
 from lodgelens.sources.sample_views import load_views  # noqa: E402
 from lodgelens.tables import HotelTables  # noqa: E402
 
@@ -89,6 +90,34 @@ def _split_days(t: HotelTables) -> DataFrame:
     return daily.chronological_split(_complete_days(t)).select("hotel_id", "date", "role")
 
 
+def _total_variance(t: HotelTables) -> DataFrame:
+    """Number of principal components and the sum of their variances, per property."""
+    found = grid.principal_components(grid.model_rows(t))
+    return found.groupBy("hotel_id").agg(F.count("component").alias("components"), F.sum("variance").alias("total_variance"))
+
+
+def _linear_grid(t: HotelTables) -> tuple[DataFrame, DataFrame]:
+    rows = cut_lineage(grid.model_rows(t))
+    return rows, grid.linear_grid(rows)
+
+
+def _ridge_folds(t: HotelTables) -> DataFrame:
+    """Mean squared error of every ridge point and fold on the selected features."""
+    found = _linear_grid(t)[1].where((F.col("model") == "ridge") & (F.col("method") == grid.SELECTED))
+    alpha = F.get_json_object("params", "$.alpha").cast("double").alias("alpha")
+    return found.select("hotel_id", alpha, F.posexplode("fold_mse").alias("fold", "mse"))
+
+
+def _best_linear(t: HotelTables) -> DataFrame:
+    rows, found = _linear_grid(t)
+    return grid.best_models(grid.linear_results(rows, cut_lineage(found)))
+
+
+def _trees(t: HotelTables, model: str) -> DataFrame:
+    branched = cut_lineage(grid.branch_rows(grid.model_rows(t)))
+    return grid.tree_grid(grid.tree_errors(branched, {model: grid.TREE_POINTS[model]}))
+
+
 ANALYSES: dict[str, Query] = {
     "lead_time_by_segment": _query(leadtime.lead_time_by_segment),
     "lead_time_percentiles": _query(leadtime.lead_time_percentiles),
@@ -154,9 +183,12 @@ ANALYSES: dict[str, Query] = {
     "chronological_split": _query(_split_days),
     "ts_folds": _query(_fold_overview),
     "feature_selection": _query(lambda t: occupancy.select_features(_train_days(t)), digits=3),
+    "model_statistics": _query(lambda t: grid.moment_list(grid.moments(grid.model_rows(t))), digits=2),
+    "feature_covariance": _query(lambda t: grid.covariances(grid.model_rows(t))),
+    "pca_total_variance": _query(_total_variance),
+    "ridge_grid": _query(_ridge_folds, digits=4),
 }
 
-LINEAR_MODELS = {name: occupancy.MODELS[name] for name in ("linear_regression", "ridge", "elastic_net")}
 # Single fits at one point of the full grids (``occupancy.MODELS``).
 FOREST = {"random_forest": occupancy.with_grid("random_forest", trees=(100,), depth=(10,), min_leaf=(1,))}
 BOOSTING = {"gradient_boosting": occupancy.with_grid("gradient_boosting", trees=(100,), rate=(0.1,), depth=(3,))}
@@ -167,26 +199,21 @@ def _fits(models: dict[str, occupancy.Model], **options: object) -> Analysis:
     return lambda t: occupancy.per_hotel(t, lambda i: occupancy.fit_occupancy(t, i, models, **options).results)
 
 
-def _best_linear(t: HotelTables) -> DataFrame:
-    def best(hotel_id: int) -> DataFrame:
-        fit = occupancy.fit_occupancy(t, hotel_id, LINEAR_MODELS, reference_compatible=True)
-        return occupancy.best_model(fit.results)
-
-    return occupancy.per_hotel(t, best)
-
-
 def _reports(t: HotelTables) -> DataFrame:
     """One monitoring report per property, as JSON text."""
     report = monitor.model_report(_naive_predictions(t), t, "last_week", datetime(1998, 6, 1, 12))
     return report.select("hotel_id", "report_date", F.to_json(F.struct(*report.columns)).alias("report"))
 
 
-# No SQL counterpart: nested reports, and Spark ML fits of each property.
+# No SQL counterpart: nested reports, eigenvectors, model fits of each property.
 ANALYSES |= {
     "model_report": _query(_reports),
-    "pca_components": _query(lambda t: occupancy.per_hotel(t, lambda i: occupancy.pca_components(t, i))),
-    "model_grid_linear": _query(_fits(LINEAR_MODELS)),
+    "pca_components": _query(lambda t: grid.principal_components(grid.model_rows(t)).drop("axis")),
+    "model_grid_linear": _query(lambda t: _linear_grid(t)[1].drop("fold_mse", "coefficients", "place")),
     "best_model_linear": _query(_best_linear),
+    "forest_grid": _query(lambda t: _trees(t, "random_forest")),
+    "boosting_grid": _query(lambda t: _trees(t, "gradient_boosting")),
+    "best_model": _query(lambda t: grid.best_models(grid.model_choice(t))),
     "forest_fit": _query(_fits(FOREST, methods=(occupancy.SELECTED,), search=False)),
     "boosting_fit": _query(_fits(BOOSTING, methods=(occupancy.SELECTED,), search=False)),
 }

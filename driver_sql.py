@@ -242,7 +242,7 @@ scaled as (select hotel_id, date, round(fill_rate, 5) as fill_rate, weekday, is_
 select * from scaled where {complete}"""
 
 
-def _augmented(seed: int = 42, noise: float = 0.1) -> str:
+def _twins(seed: int = 42, noise: float = 0.1) -> str:
     def uniform(feature: str, tag: str) -> str:
         key = f"concat_ws('|', '{seed}', '{feature}', '{tag}', cast(hotel_id as varchar), cast(date as varchar))"
         return f"((cast(cast('0x' || substr(md5({key}), 1, 13) as bigint) as double) + 0.5) / {1 << 52})"
@@ -252,18 +252,85 @@ def _augmented(seed: int = 42, noise: float = 0.1) -> str:
         f" * cos({_TAU} * {uniform(f, 'angle')}) end as {f}"
         for f in ["fill_rate", *FEATURES]
     )
+    return f"""{_FEATURES_EXACT},
+twins as (select hotel_id, date, copy, {twins} from features cross join (select unnest([0, 1]) as copy) c)"""
+
+
+def _augmented() -> str:
     columns = ", ".join(
         f"round(({f} - avg({f}) over w) / coalesce(nullif(stddev_pop({f}) over w, 0), 1), 5) as {f}" for f in SCALED
     )
     complete = " and ".join(f"{f} is not null" for f in ["fill_rate", *FEATURES])
-    return f"""with {_FEATURES_EXACT},
-twins as (select hotel_id, date, copy, {twins} from features cross join (select unnest([0, 1]) as copy) c),
+    return f"""with {_twins()},
 scaled as (select hotel_id, date, copy, round(fill_rate, 5) as fill_rate, round(weekday, 5) as weekday,
                   round(is_weekend, 5) as is_weekend, {columns}
            from twins window w as (partition by hotel_id))
 select * from scaled where {complete}"""
 
 
+def _model_rows() -> str:
+    """``wide``: scaled rows with their fold block (5: the test days); ``long``: one row per feature."""
+    columns = ", ".join(
+        f"({f} - avg({f}) over w) / coalesce(nullif(stddev_pop({f}) over w, 0), 1) as {f}" for f in SCALED
+    )
+    complete = " and ".join(f"{f} is not null" for f in ["fill_rate", *FEATURES])
+    return f"""{_twins()},
+scaled as materialized (select hotel_id, date, copy, fill_rate, weekday, is_weekend, {columns}
+           from twins window w as (partition by hotel_id)),
+placed as (select *, row_number() over (partition by hotel_id order by date, copy) - 1 as pos,
+                  count(*) over (partition by hotel_id) as n from scaled where {complete}),
+sized as (select *, cast(n - ceil(0.2 * n - 1e-9) as bigint) as train from placed),
+wide as materialized (
+    select hotel_id, date, copy, 1.0::double as one, fill_rate, {", ".join(FEATURES)},
+           case when pos >= train then 5
+                else greatest(-1, cast(floor((pos - (train - 5 * (train // 6))) / (train // 6)) as int)) end as block
+    from sized),
+long as materialized (
+    select hotel_id, date, copy, block, name, value
+    from wide unpivot (value for name in (one, fill_rate, {", ".join(FEATURES)})))"""
+
+
+_PLACES = ", ".join(f"('{name}', {i})" for i, name in enumerate(["one", "fill_rate", *FEATURES]))
+_PAIRED = f"""places(name, place) as (values {_PLACES}),
+paired as (select x.hotel_id, x.block, x.name as a, y.name as b, x.value as va, y.value as vb
+           from long x join long y on x.hotel_id = y.hotel_id and x.date = y.date and x.copy = y.copy
+           join places p on p.name = x.name join places q on q.name = y.name and p.place <= q.place)"""
+
+# Ridge by Gauss-Jordan elimination of the centred normal equations, one column a step.
+_RIDGE = f"""with recursive {_model_rows()},
+train as (select l.*, w.fill_rate from long l join wide w using (hotel_id, date, copy)
+          where l.block < 5 and l.name not in ('one', 'fill_rate')),
+ranked as (select hotel_id, name, row_number() over (partition by hotel_id order by r * r / (1 - r * r) desc, name) as p
+           from (select hotel_id, name, corr(value, fill_rate) as r from train group by all) c where not isnan(r)),
+picked as materialized (select t.hotel_id, t.date, t.copy, t.block, p, t.value, w.fill_rate
+           from long t join wide w using (hotel_id, date, copy) join ranked r on r.hotel_id = t.hotel_id and r.name = t.name and p <= 20),
+folds as (select unnest([0, 1, 2, 3, 4]) as fold),
+centred as (
+    select x.hotel_id, fold, x.p, y.p as q, covar_pop(x.value, y.value) * count(*) as v
+    from picked x join picked y on x.hotel_id = y.hotel_id and x.date = y.date and x.copy = y.copy
+    join folds on x.block < fold group by all
+    union all
+    select hotel_id, fold, p, 21, covar_pop(value, fill_rate) * count(*) from picked join folds on block < fold group by all),
+means as (select hotel_id, fold, p, avg(value) as x, avg(fill_rate) as y from picked join folds on block < fold group by all),
+lines as (select hotel_id, fold, alpha, p, list(v + case when p = q then alpha else 0 end order by q) as line
+          from centred cross join (select unnest([0.1, 1.0, 10.0]) as alpha) a group by hotel_id, fold, alpha, p),
+solved as (
+    select hotel_id, fold, alpha, 0 as step, list(line order by p) as m from lines group by hotel_id, fold, alpha
+    union all
+    select hotel_id, fold, alpha, step + 1, list_transform(m, lambda line, i: case
+        when i = step + 1 then list_transform(line, lambda v: v / m[step + 1][step + 1])
+        else list_transform(line, lambda v, j: v - line[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) end)
+    from solved where step < len(m)),
+weights as (select hotel_id, fold, alpha, unnest(range(1, len(m) + 1)) as p, unnest(list_transform(m, lambda line: line[len(line)])) as b
+            from solved where step = len(m)),
+told as (select t.hotel_id, w.fold, alpha, t.date, t.copy, any_value(t.fill_rate) - any_value(n.y) - sum(b * (t.value - n.x)) as residual
+         from picked t join weights w on w.hotel_id = t.hotel_id and w.fold = t.block and w.p = t.p
+         join means n on n.hotel_id = t.hotel_id and n.fold = w.fold and n.p = t.p
+         group by t.hotel_id, w.fold, alpha, t.date, t.copy)
+select hotel_id, cast(alpha as double) as alpha, cast(fold as int) as fold, round(avg(residual * residual), 4) as mse
+from told group by hotel_id, alpha, fold"""
+
+
 def _scores() -> str:
     parts = " union all ".join(
         f"select hotel_id, '{f}' as feature, corr({f}, fill_rate) as r, count(*) as n from split where role = 'train' group by hotel_id"
@@ -598,6 +665,18 @@ select hotel_id, fold, case when i < n - (5 - fold) * size then 'train' else 'te
        count(*) as n, min(date) as first_date, max(date) as last_date
 from folds where i < n - (4 - fold) * size group by all""",
     "feature_selection": _scores(),
+    "model_statistics": f"""with {_model_rows()},
+{_PAIRED}
+select hotel_id, cast(block as int) as block, a, b, round(sum(va * vb), 2) as value from paired group by hotel_id, block, a, b""",
+    "feature_covariance": f"""with {_model_rows()},
+{_PAIRED}
+select hotel_id, a, b, round(covar_samp(va, vb), 6) as covariance from paired
+where block < 5 and a not in ('one', 'fill_rate') group by hotel_id, a, b""",
+    "pca_total_variance": f"""with {_model_rows()}
+select hotel_id, count(*) as components, round(sum(v), 6) as total_variance from
+  (select hotel_id, name, var_samp(value) as v from long where block < 5 and name not in ('one', 'fill_rate') group by all) x
+group by hotel_id""",
+    "ridge_grid": _RIDGE,
 }
 
 

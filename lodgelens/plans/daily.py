@@ -99,15 +99,16 @@ def scaling_statistics(rows: DataFrame) -> DataFrame:
     )
 
 
-def standardised(rows: DataFrame) -> DataFrame:
+def standardised(rows: DataFrame, fitted_on: str = "true") -> DataFrame:
     """Scale the features of each property by its own mean and population deviation, zero spread counting 1.
 
-    The statistics are windows over the property's days.  The daily features are partitioned by property
-    already, so this adds no exchange.
+    The statistics are windows over the property's days, those that meet ``fitted_on``.  The daily features are
+    partitioned by property already, so this adds no exchange.
     """
     over = "OVER (PARTITION BY hotel_id)"
-    means = [f"avg({f}) {over} AS {f}__mean" for f in SCALED]
-    spreads = [f"stddev_pop({f}) {over} AS {f}__std" for f in SCALED]
+    told = lambda f: f if fitted_on == "true" else f"if({fitted_on}, {f}, NULL)"
+    means = [f"avg({told(f)}) {over} AS {f}__mean" for f in SCALED]
+    spreads = [f"stddev_pop({told(f)}) {over} AS {f}__std" for f in SCALED]
     scaled = {f: f"({f} - {f}__mean) / if({f}__std = 0, 1D, {f}__std) AS {f}" for f in SCALED}
     return rows.selectExpr("*", *means, *spreads).selectExpr(*[scaled.get(c, c) for c in rows.columns])
 

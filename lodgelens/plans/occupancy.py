@@ -15,7 +15,9 @@ Two ways to prepare the rows:
 
 from __future__ import annotations
 
+import functools
 import json
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -26,8 +28,9 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,8 +154,22 @@ def _centred() -> list:
     ]
 
 
+_first_decomposition = threading.Lock()
+
+
+@functools.cache
+def _linear_algebra_ready(application: str) -> bool:
+    """Run one small decomposition alone: its first use by several threads of a session at once can fail to converge."""
+    spark = SparkSession.active()
+    rows = spark.createDataFrame([(Vectors.dense(1.0, 2.0),), (Vectors.dense(3.0, 1.0),), (Vectors.dense(0.0, 5.0),)], ["v"])
+    PCA(k=2, inputCol="v", outputCol="w").fit(rows)
+    return True
+
+
 def component_variance(train: DataFrame, scaling: SQLTransformer) -> list[float]:
     """Share of variance of every principal component, largest first."""
+    with _first_decomposition:
+        _linear_algebra_ready(train.sparkSession.sparkContext.applicationId)
     full = PCA(k=len(FEATURES), inputCol="centred", outputCol="features")
     fitted = Pipeline(stages=[scaling, *_centred(), full]).fit(train)
     return [float(v) for v in fitted.stages[-1].explainedVariance]
@@ -394,14 +411,16 @@ def fit_occupancy(
 
     features = [r["feature"] for r in select_features(train, best_features, by=()).orderBy("rank").collect()]
     branches, components = {SELECTED: [scaling, _vector(features)]}, 0
+    results, pipelines = [], {}
     if COMPONENTS in methods:
-        components = components_kept(component_variance(train, scaling), kept_variance)
-        branches[COMPONENTS] = [scaling, *_centred(), PCA(k=components, inputCol="centred", outputCol="features")]
+        try:
+            components = components_kept(component_variance(train, scaling), kept_variance)
+            branches[COMPONENTS] = [scaling, *_centred(), PCA(k=components, inputCol="centred", outputCol="features")]
+        except Exception as failure:  # the other features must not suffer from it
+            results += [(COMPONENTS, name, None, None, None, None, None, "failed", str(failure)) for name in models]
 
-    results, pipelines = [], {}
-    for method in methods:
-        stages = branches[method]
-        prepared = Pipeline(stages=stages).fit(train)
+    for method in [m for m in methods if m in branches]:
+        prepared = Pipeline(stages=branches[method]).fit(train)
         columns = ["hotel_id", "block", TARGET, "features"]
         vectors = prepared.transform(train).select(*columns).persist()
         try:

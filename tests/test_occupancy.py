@@ -97,6 +97,17 @@ def test_best_is_saved_and_scores_again(spark, fit, tmp_path):
     assert again == predicted.orderBy("date", "copy").select("prediction").collect()
 
 
+def test_components_that_fail_leave_the_selected_features(spark, monkeypatch):
+    def fails(*_):
+        raise ValueError("no convergence")
+
+    monkeypatch.setattr(occupancy, "component_variance", fails)
+    models = {"linear_regression": occupancy.MODELS["linear_regression"]}
+    fit = occupancy.fit_occupancy(load_views(spark, TESTDATA), hotel_id=1, models=models, best_features=3, folds=2)
+    rows = {r["method"]: (r["status"], r["error"]) for r in fit.results.collect()}
+    assert rows == {"pca": ("failed", "no convergence"), "selected": ("ok", None)}
+
+
 def test_a_tie_goes_to_components(spark):
     rows = [("selected", "ridge", 2.0, "ok"), ("pca", "ridge", 2.0, "ok"), ("pca", "lr", None, "failed")]
     results = spark.createDataFrame(rows, "method string, model string, rmse double, status string")
