@@ -27,16 +27,22 @@ def one_space(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]{2,}|[\\x09-\\x0D]", " ")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def exact_groups(
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    carry: list[str] | None = None,
+    store: StoredTables | None = None,
+) -> DataFrame:
     """Every row of ``docs`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
-    ``carry`` names the input columns to return (default: all).  A null text counts as empty, and all empty texts are
+    ``carry`` names the input columns to return (default: all).  The result reads tables of ``store`` (by default one
+    of its own).  A null text counts as empty, and all empty texts are
     one group.  The smallest id of a group is kept; null ids rank last, so a group of null ids only keeps them all
     (``keep_id`` null, ``kept`` true).  Rows that repeat the kept id and its text are all kept.  Input columns named
     like a result are replaced.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    store = StoredTables(spark, "exact-dedup")
+    store = store or StoredTables(docs.sparkSession, "exact-dedup")
     kept_columns = docs.select(*(docs.columns if carry is None else carry))
     body = one_space(text_of(text)).cast("binary")
     state = docs.select(
@@ -69,12 +75,14 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", carry
                 "sha",
                 F.coalesce("n", F.lit(1)).alias("n"),
                 F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("first_id")).alias("first_id"),
+                goes_on.alias("goes_on"),
             ),
             f"split{depth}",
+            by=["goes_on"],
         )
-        store.drop(f"groups{depth}")
-        done.append(stored.where("body IS NULL"))
-        rest = stored.where("body IS NOT NULL")
+        store.drop(f"groups{depth}", f"split{depth - 1}/goes_on=true")
+        done.append(stored.where("NOT goes_on"))
+        rest = stored.where("goes_on")
         if rest.isEmpty():
             break
         state = rest.select("row", "id", "group", "body", "sha")
@@ -91,8 +99,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", carry
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, store: StoredTables | None = None) -> DataFrame:
     """The kept rows with the columns of ``docs``."""
     columns = docs.columns
-    marked = exact_groups(docs.select(F.struct("*").alias("doc"), "text", "doc_id"), carry=["doc"])
+    marked = exact_groups(docs.select(F.struct("*").alias("doc"), "text", "doc_id"), carry=["doc"], store=store)
     return marked.where("kept").select(*[F.col("doc").getField(name).alias(name) for name in columns])

@@ -362,7 +362,11 @@ def components(links: DataFrame, store: StoredTables) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, trees: int = TREES
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    similarity: tuple[int, int] = SIMILARITY,
+    trees: int = TREES,
+    store: StoredTables | None = None,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -372,7 +376,7 @@ def near_groups(
     counts as a copy of an equal set: it is kept only if no document with an id has that set.  An empty table gives an
     empty result; further columns are ignored.
     """
-    store = StoredTables(docs.sparkSession, "near-dedup")
+    store = store or StoredTables(docs.sparkSession, "near-dedup")
     join = PathJoin(docs, shingle, similarity, trees, store)
     parts = components(join.links(), store)
     sets = store.put(
@@ -390,10 +394,9 @@ def near_groups(
     )
 
 
-def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, store: StoredTables | None = None, **settings) -> DataFrame:
     """``docs`` without the documents (by id) of which a near-duplicate with a smaller id stays; same columns."""
-    marked = near_groups(docs, **settings)
-    gone = StoredTables(docs.sparkSession, "near-dedup-gone").put(
-        marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone id")).distinct(), "gone"
-    )
+    store = store or StoredTables(docs.sparkSession, "near-dedup")
+    marked = near_groups(docs, store=store, **settings)
+    gone = store.put(marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone id")).distinct(), "gone")
     return docs.join(grows(gone), F.col("doc_id").cast("long") == F.col("gone id"), "left_anti")
