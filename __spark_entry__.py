@@ -32,10 +32,12 @@ from lodgelens.plans import (  # noqa: E402
     profile,
     rooms,
     segments,
+    trends,
     upsell,
     visits,
 )
-from lodgelens.session import configure, cut_lineage  # noqa: E402
+from lodgelens.session import StoredTables, configure, cut_lineage  # noqa: E402
+from lodgelens.sources import store  # noqa: E402
 from lodgelens.sources.sample_views import load_views  # noqa: E402
 from lodgelens.tables import HotelTables  # noqa: E402
 
@@ -90,6 +92,24 @@ def _split_days(t: HotelTables) -> DataFrame:
     return daily.chronological_split(_complete_days(t)).select("hotel_id", "date", "role")
 
 
+def _history(t: HotelTables) -> DataFrame:
+    """Reports of three days, each about the predictions before it, written to a log and the last one once more."""
+    spark = t.daily_occupancy.sparkSession
+    path = StoredTables(spark, "reports").folder
+    told = cut_lineage(_naive_predictions(t))
+    for year in (1995, 1997, 1998, 1998):
+        day = datetime(year, 6, 1, 12)
+        known = told.where(F.col("date") < F.lit(day.date()))
+        report = monitor.model_report(known, t, "last_week", day, tables=("daily_occupancy",))
+        store.append_report(report, path)
+    return monitor.metric_history(store.read_reports(spark, path, report))
+
+
+def _monthly_sketches(t: HotelTables) -> DataFrame:
+    daily = StoredTables(t.search_log.sparkSession, "sketches").put(trends.daily_sketches(t), "daily")
+    return trends.monthly_check(t, daily)
+
+
 def _total_variance(t: HotelTables) -> DataFrame:
     """Number of principal components and the sum of their variances, per property."""
     found = grid.principal_components(grid.model_rows(t))
@@ -150,6 +170,7 @@ ANALYSES: dict[str, Query] = {
     "ppc_revenue_by_segment": _query(ppc.ppc_revenue_by_segment),
     "ppc_revenue_wide": _query(ppc.ppc_revenue_wide),
     "upsell_by_segment": _query(upsell.upsell_by_segment),
+    "upsell_levels": _query(upsell.upsell_levels),
     "upsell_revenue": _query(upsell.upsell_revenue),
     "upsell_revenue_tiers": _query(upsell.upsell_revenue_tiers),
     "upsell_revenue_tiers_all": _query(lambda t: upsell.upsell_revenue_tiers(t, all_products=True)),
@@ -157,6 +178,7 @@ ANALYSES: dict[str, Query] = {
     "visits_distribution": _query(visits.visits_distribution),
     "visits_summary": _query(visits.visits_summary),
     "visits_overall": _query(visits.visits_overall),
+    "visits_levels": _query(visits.visits_levels),
     "repeat_bookers": _query(visits.repeat_bookers),
     "repeat_totals": _query(visits.repeat_totals),
     "booking_frequency": _query(visits.booking_frequency),
@@ -179,6 +201,8 @@ ANALYSES: dict[str, Query] = {
     "augmented_features": _query(lambda t: daily.scaled_features(t, seed=occupancy.SEED), digits=5),
     "daily_metrics": _query(monitor.daily_metrics),
     "model_metrics": _query(lambda t: monitor.model_metrics(_naive_predictions(t))),
+    "metric_history": _query(_history),
+    "monthly_sketches": _query(_monthly_sketches),
     "residual_histogram": _query(lambda t: monitor.residual_histogram(_naive_predictions(t))),
     "chronological_split": _query(_split_days),
     "ts_folds": _query(_fold_overview),

@@ -498,6 +498,15 @@ from (select *, sum(revenue) over (partition by hotel_id, currency, utm_source)
 select hotel_id, currency, segment, {_PPC_WIDE} from ppc group by hotel_id, currency, segment""",
     "upsell_by_segment": f"""with {_UPSELL}
 select hotel_id, currency, name, {_UPSELL_WIDE}, count(*) as total from sold group by hotel_id, currency, name""",
+    "upsell_levels": f"""with {_UPSELL},
+levels as (
+    select hotel_id, currency, name, segment, 0 as level, sum_price from sold union all
+    select hotel_id, currency, name, null, 1, sum_price from sold union all
+    select hotel_id, currency, null, segment, 2, sum_price from sold union all
+    select hotel_id, currency, null, null, 3, sum_price from sold)
+select hotel_id, currency, name, segment, cast(level as int) as level, count(*) as sold,
+       round(cast(sum(sum_price) as double), 2) as revenue
+from levels group by hotel_id, currency, name, segment, level""",
     "upsell_revenue": f"""with {_UPSELL}
 select hotel_id, currency, segment, name, round(cast(sum(sum_price) as double), 2) as revenue
 from sold group by hotel_id, currency, segment, name""",
@@ -547,6 +556,33 @@ select v.hotel_id, round(avg(visits), 6) as mean_visits, median(visits) as media
        max(visits) as max_visits, count(*) as users,
        (select count(*) from merged m where m.conversion = 1 and m.hotel_id = v.hotel_id) as bookings
 from visits v group by v.hotel_id""",
+    "visits_levels": f"""with {_USERS},
+s as (select hotel_id, 0 as level, currency, round(avg(visits), 6) as mean_visits, median(visits) as median_visits,
+             min(visits) as min_visits, max(visits) as max_visits, count(*) as users
+      from currency_users group by hotel_id, currency),
+b as (select hotel_id, currency, count(*) as bookings, round(cast(sum(total_price_final) as double), 2) as revenue
+      from merged where conversion = 1 group by hotel_id, currency)
+select s.*, b.bookings, b.revenue from s join b on s.hotel_id = b.hotel_id and s.currency = b.currency
+union all
+select v.hotel_id, 1, null, round(avg(visits), 6), median(visits), min(visits), max(visits), count(*),
+       (select count(*) from merged m where m.conversion = 1 and m.hotel_id = v.hotel_id),
+       (select round(cast(sum(total_price_final) as double), 2) from merged m where m.conversion = 1 and m.hotel_id = v.hotel_id)
+from visits v group by v.hotel_id""",
+    "monthly_sketches": """
+select s.hotel_id, strftime(cast(utc_datetime as date), '%Y-%m') as month, count(distinct uuid) as visitors,
+       true as visitors_within, count(case when conversion = 1 and total_price_final is not null then 1 end) as bookings,
+       true as median_within
+from search_log s left join search_log_session u on u.hotel_id = s.hotel_id and u.id = s.search_log_session_id
+group by 1, 2""",
+    "metric_history": f"""with {_PREDICTIONS},
+days as (select unnest([date '1995-06-01', date '1997-06-01', date '1998-06-01']) as day),
+m as (select hotel_id, day, sqrt(avg(residual * residual)) as rmse, avg(abs(residual)) as mae,
+             1 - sum(residual * residual) / (var_pop(label) * count(*)) as r2
+      from predictions p join days on p.date < day group by hotel_id, day)
+select hotel_id, 'last_week' as model_name, cast(day as varchar) || ' 12:00:00' as timestamp, round(rmse, 6) as rmse,
+       round(mae, 6) as mae, round(r2, 6) as r2, round(rmse - 8.35, 6) as rmse_vs_baseline,
+       round(rmse - lag(rmse) over w, 6) as rmse_change, round(mae - lag(mae) over w, 6) as mae_change
+from m window w as (partition by hotel_id order by day)""",
     "repeat_bookers": f"""with {_REPEAT}
 select hotel_id, utm_source, utm_medium, currency, count(*) as bookings, count(distinct uuid) as users,
        round(cast(sum(total_price_final) as double), 2) as revenue,

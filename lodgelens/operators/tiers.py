@@ -8,22 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.operators.cells import equi_join
+from lodgelens.operators.ranks import quantile_edges
 from lodgelens.schema import REVENUE_TIERS
 
 EDGE_DECIMALS = 6
 
 
 def tier_edges(items: DataFrame, by: Sequence[str], value: str, classes: int) -> DataFrame:
-    """Distinct quantile edges of each group, ascending, as one array.
-
-    Works on value counts: the state per group is the number of distinct values among the items.
-    """
-    cuts = F.array(*[F.lit(i / classes) for i in range(classes + 1)])
-    counts = items.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    edges = F.percentile(F.col("_v"), cuts, F.col("_n"))
-    return counts.groupBy(*by).agg(
-        F.array_distinct(F.transform(edges, lambda e: F.round(e, EDGE_DECIMALS))).alias("edges")
-    )
+    """Distinct quantile edges of each group, ascending, as one array; no task's state grows with the items."""
+    found = quantile_edges(items, by, value, [i / classes for i in range(classes + 1)])
+    rounded = F.transform("edges", lambda e: F.round(e, EDGE_DECIMALS))
+    return found.select(*by, F.array_distinct(rounded).alias("edges"))
 
 
 def add_tier(

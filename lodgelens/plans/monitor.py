@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.operators.distribution import equal_width_histogram
 from lodgelens.plans.daily import same_day_occupancy
 from lodgelens.plans.profile import data_quality
+from lodgelens.schema import TABLE_NAMES
 from lodgelens.tables import HotelTables
 
 # Fixed value: error of the reference model that reports are compared with.
@@ -80,8 +81,9 @@ def model_report(
     model_name: str,
     reported_at: datetime,
     baseline_rmse: float = BASELINE_RMSE,
+    tables: tuple[str, ...] = TABLE_NAMES,
 ) -> DataFrame:
-    """One nested report row per property: metrics, data quality of every table, figures of the report day.
+    """One nested report row per property: metrics, data quality of ``tables``, figures of the report day.
 
     Append it with ``store.append_report``; the history is read back with ``store.read_reports``.
     """
@@ -90,7 +92,7 @@ def model_report(
         F.struct("rmse", "mae", "r2").alias("model_metrics"),
         "rmse_vs_baseline",
     )
-    quality = data_quality(t).groupBy("hotel_id").agg(
+    quality = data_quality(t, tables).groupBy("hotel_id").agg(
         F.sort_array(
             F.collect_list(F.struct("table_name", "missing_values", "row_count", "duplicate_rows"))
         ).alias("data_quality")  # eleven entries per property
@@ -117,7 +119,10 @@ def model_report(
 
 
 def metric_history(reports: DataFrame) -> DataFrame:
-    """RMSE, MAE and R² of the stored reports in time order."""
-    return reports.select(
+    """RMSE, MAE and R² of the stored reports in time order, and the change of RMSE and MAE since the report before."""
+    kept = reports.select(
         "hotel_id", "model_name", "timestamp", "model_metrics.rmse", "model_metrics.mae", "model_metrics.r2", "rmse_vs_baseline"
-    ).orderBy("hotel_id", "model_name", "timestamp")
+    )
+    before = Window.partitionBy("hotel_id", "model_name").orderBy("timestamp")
+    change = {f"{m}_change": F.col(m) - F.lag(m).over(before) for m in ("rmse", "mae")}
+    return kept.withColumns(change).orderBy("hotel_id", "model_name", "timestamp")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgelens.functions.columns import ratio
 from lodgelens.schema import TABLE_NAMES
+from lodgelens.session import cut_lineage
 from lodgelens.tables import HotelTables
 
 
@@ -60,31 +62,60 @@ def base_stats(t: HotelTables) -> DataFrame:
     return searches.join(bookings, "hotel_id", "full").join(occupancy, "hotel_id", "full")
 
 
-def data_quality(t: HotelTables, tables: tuple[str, ...] = TABLE_NAMES) -> DataFrame:
-    """Missing values, rows and duplicate rows per table and property.
+FEW_FINGERPRINTS = 1_000_000  # repeated ones up to this number (16 MB) are broadcast
 
-    Two 64-bit hashes of a row are shuffled, never the row: rows count as equal where both agree (for hashes as good
-    as random ones, a chance below 10^-12 among 10^13 different rows).  Equal rows are merged before the exchange
-    already, so a row copied millions of times travels as one; all three figures come out of that single grouping.
-    """
-    return reduce(DataFrame.unionByName, [_quality(t[name], name) for name in tables])
 
+def fingerprint(columns: list[Column]) -> Column:
+    """A 64-bit hash of a row; the hash itself passes over missing values, so where they are is hashed too."""
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
-def _quality(table: DataFrame, name: str) -> DataFrame:
-    others = [F.col(c) for c in table.columns if c != "hotel_id"]
-    empty = [c.isNull() for c in others]  # the hash itself passes over missing values
-    marked = table.select(
-        "hotel_id",
-        F.xxhash64(*others, *empty).alias("_first"),
-        F.xxhash64(F.lit(name), *empty, *reversed(others)).alias("_second"),
-        reduce(lambda a, b: a + b, [e.cast("long") for e in empty]).alias("_missing"),
+
+def data_quality(
+    t: HotelTables,
+    tables: tuple[str, ...] = TABLE_NAMES,
+    hashed: Callable[[list[Column]], Column] = fingerprint,
+) -> DataFrame:
+    """Missing values, rows and duplicate rows per table and property.
+
+    Exact in two phases.  The first groups fingerprints, not rows, of all tables in one exchange, and stores those that
+    occur more than once, and one row of sums for all others.  The second fetches the rows with repeated fingerprints
+    and counts equal ones in full; a table without any is not read again.
+    """
+    merged = reduce(DataFrame.unionByName, [_fingerprints(t[name], name, hashed) for name in tables])
+    single = merged.groupBy("table_name", "hotel_id", "_hash").agg(F.count(F.lit(1)).alias("_n"), F.sum("_missing").alias("_missing"))
+    folded = cut_lineage(
+        single.groupBy("table_name", "hotel_id", F.when(F.col("_n") > 1, F.col("_hash")).alias("_hash")).agg(
+            F.sum("_n").alias("_n"), F.sum("_missing").alias("_missing")
+        )
     )
-    merged = marked.groupBy("hotel_id", "_first", "_second").agg(
-        F.count(F.lit(1)).alias("_copies"), F.sum("_missing").alias("_missing")
+    repeated = folded.where(F.col("_hash").isNotNull())
+    sizes = {r["table_name"]: r["n"] for r in repeated.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = folded.groupBy("table_name", "hotel_id").agg(
+        F.sum("_missing").alias("missing_values"), F.sum("_n").alias("row_count")
     )
-    return merged.groupBy("hotel_id").agg(
-        F.lit(name).alias("table_name"),
-        F.sum("_missing").alias("missing_values"),
-        F.sum("_copies").alias("row_count"),
-        F.sum(F.col("_copies") - 1).alias("duplicate_rows"),
+    if not sizes:
+        return totals.withColumn("duplicate_rows", F.lit(0).cast("long"))
+    surplus = reduce(
+        DataFrame.unionByName, [_surplus(t[name], name, hashed, repeated, n) for name, n in sorted(sizes.items())]
     )
+    joined = totals.join(surplus, ["table_name", "hotel_id"], "left")
+    return joined.withColumn("duplicate_rows", F.coalesce("duplicate_rows", F.lit(0).cast("long")))
+
+
+def _others(table: DataFrame) -> list[Column]:
+    return [F.col(c) for c in table.columns if c != "hotel_id"]
+
+
+def _fingerprints(table: DataFrame, name: str, hashed: Callable[[list[Column]], Column]) -> DataFrame:
+    others = _others(table)
+    missing = reduce(lambda a, b: a + b, [c.isNull().cast("long") for c in others])
+    return table.select(F.lit(name).alias("table_name"), "hotel_id", hashed(others).alias("_hash"), missing.alias("_missing"))
+
+
+def _surplus(table: DataFrame, name: str, hashed: Callable, repeated: DataFrame, n: int) -> DataFrame:
+    """Rows beyond the first of equal ones, per property, among those with a repeated fingerprint."""
+    keys = repeated.where(F.col("table_name") == name).select("hotel_id", "_hash")
+    keys = F.broadcast(keys) if n <= FEW_FINGERPRINTS else keys
+    rows = table.withColumn("_hash", hashed(_others(table))).join(keys, ["hotel_id", "_hash"], "left_semi")
+    equal = rows.groupBy(*table.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return equal.groupBy("hotel_id").agg(F.lit(name).alias("table_name"), F.sum(F.col("_n") - 1).alias("duplicate_rows"))

@@ -57,6 +57,20 @@ def upsell_by_segment(t: HotelTables, currencies: Currencies = CURRENCIES) -> Da
     return wide.withColumn("total", total).where(F.col("total") > 0)
 
 
+def upsell_levels(t: HotelTables, currencies: Currencies = CURRENCIES) -> DataFrame:
+    """Times sold and revenue per product and segment with all margins, from one pass over the cells.
+
+    ``level`` is 0 for a cell, 1 for a product over all segments, 2 for a segment over all products, 3 for the currency;
+    what is summed over is NULL.
+    """
+    keys = ["hotel_id", "currency", "name", "segment"]
+    margins = [keys, keys[:3], [*keys[:2], "segment"], keys[:2]]
+    level = F.grouping("name") * 2 + F.grouping("segment")
+    return upsell_cells(t, currencies).groupingSets(margins, *keys).agg(
+        level.cast("int").alias("level"), F.sum("sold").alias("sold"), F.sum("revenue").cast("double").alias("revenue")
+    )
+
+
 def upsell_revenue(t: HotelTables, currencies: Currencies = CURRENCIES) -> DataFrame:
     return upsell_cells(t, currencies).select(
         "hotel_id", "currency", "segment", "name", F.col("revenue").cast("double").alias("revenue")

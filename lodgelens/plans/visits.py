@@ -113,6 +113,27 @@ def visits_summary(t: HotelTables) -> DataFrame:
     )
 
 
+def visits_levels(t: HotelTables) -> DataFrame:
+    """Visits before booking per currency and over all, from one pass: ``level`` is 0 for a currency's row and 1 for
+    the property's, whose ``currency`` is NULL.
+
+    A visitor's rows by currency have the same visits, so each visitor counts once at either level.
+    """
+    users = _booked_with_visits(t, "currency")
+    levels = users.groupingSets([[*USER, "currency"], [*USER]], *USER, "currency").agg(
+        F.grouping("currency").cast("int").alias("level"),
+        F.max("visits").alias("visits"),
+        F.sum("bookings").alias("bookings"),
+        F.sum("revenue").alias("revenue"),
+    )
+    histogram = levels.groupBy("hotel_id", "level", "currency", "visits").agg(
+        F.count(F.lit(1)).alias("users"), F.sum("bookings").alias("bookings"), F.sum("revenue").alias("revenue")
+    )
+    return histogram.groupBy("hotel_id", "level", "currency").agg(
+        *_visit_statistics(), F.sum("bookings").alias("bookings"), F.sum("revenue").cast("double").alias("revenue")
+    )
+
+
 def visits_overall(t: HotelTables) -> DataFrame:
     """Visits before booking over all currencies, each visitor once."""
     histogram = _booked_with_visits(t).groupBy("hotel_id", "visits").agg(

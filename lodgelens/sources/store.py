@@ -53,9 +53,16 @@ def export_compressed(tables: HotelTables, path: str, exported_at: datetime) ->
     return export_csv(tables, path, compression="gzip", exported_at=exported_at)
 
 
+REPORT_KEYS = ("report_date", "model_name", "timestamp", "hotel_id")
+
+
 def append_report(report: DataFrame, path: str) -> None:
-    """Append report rows as JSON, in one folder per report day."""
-    report.write.mode("append").partitionBy("report_date").json(path)
+    """Add report rows as JSON, in a folder per day, model, time and property.
+
+    A run that is repeated replaces its own rows and no others, so it can be started again after a failure.
+    """
+    writer = report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*REPORT_KEYS).json(path)
 
 
 def read_reports(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
