@@ -222,7 +222,7 @@ def frequent_cells(tokens: DataFrame) -> DataFrame:
             part = cells[begin:end]
             yield _rows(PAIRS, [[part[0] % PAIR_BUCKETS], [packed(np.diff(part, prepend=0), total[part])]])
 
-    return tokens.where("bucket IS NULL AND train").select("frequent").mapInArrow(run, PAIRS)
+    return tokens.where("NOT dealt AND train").select("frequent").mapInArrow(run, PAIRS)
 
 
 def _block(
@@ -271,7 +271,7 @@ def rare_blocks(tokens: DataFrame, parts: int) -> DataFrame:
         word = np.where(word[cells] < 0, number - (names < 0).sum(), word[cells])
         yield _block(word, context[cells], n, seen, place >> 1, TaskContext.get().partitionId())
 
-    rows = tokens.where("bucket IS NOT NULL").select("bucket", "pairs")
+    rows = tokens.where("dealt").select("bucket", "pairs")
     return rows.repartition(parts, "bucket").mapInArrow(run, BLOCK)
 
 
@@ -620,7 +620,7 @@ def frequent_scores(tokens: DataFrame, logs: np.ndarray, counts: np.ndarray) ->
             known_n, base, score = zip(*rows) if rows else ((), (), ())
             yield _rows(PARTS, [*batch.columns[:4], known_n, base, score])
 
-    return tokens.where("bucket IS NULL").select("rid", "doc_id", "train", "n_tokens", "frequent").mapInArrow(run, PARTS)
+    return tokens.where("NOT dealt").select("rid", "doc_id", "train", "n_tokens", "frequent").mapInArrow(run, PARTS)
 
 
 def score_documents(docs: DataFrame, train: Column, seed: int = 3) -> DataFrame:
@@ -636,8 +636,10 @@ def score_documents(docs: DataFrame, train: Column, seed: int = 3) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), text_of().alias("text"))
     frequent, words = commonest_words(rows)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_TOKENS))
-    tokens = store.put(tokenize(rows, frequent, BUCKETS * parts), "tokens")
+    told_apart = tokenize(rows, frequent, BUCKETS * parts).withColumn("dealt", F.col("bucket").isNotNull())
+    tokens = store.put(told_apart, "tokens", by=["dealt"])
     rare_part = store.put(rare_blocks(tokens, parts), "rare")
+    store.drop("tokens/dealt=true")  # the blocks hold these occurrences now
     frequent_part = store.put(frequent_blocks(frequent_cells(tokens), min(parts, 64)), "frequent")
     totals = _summed(rare_part.unionByName(frequent_part).select("totals"))
     totals = totals if len(totals) else np.zeros(N_TOTALS)
