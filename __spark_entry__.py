@@ -12,6 +12,7 @@ import os
 import sys
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -37,8 +38,8 @@ from lodgelens.plans import (  # noqa: E402
     visits,
 )
 from lodgelens.session import StoredTables, configure, cut_lineage  # noqa: E402
-from lodgelens.sources import store  # noqa: E402
-from lodgelens.sources.sample_views import load_views  # noqa: E402
+from lodgelens.sources import many_csv, store  # noqa: E402
+from lodgelens.sources.sample_views import RAW_VIEWS, load_raw, load_views  # noqa: E402
 from lodgelens.tables import HotelTables  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -50,6 +51,8 @@ Analysis = Callable[[HotelTables], DataFrame]
 
 def _rounded(df: DataFrame, digits: int) -> DataFrame:
     def shown(field: T.StructField):
+        if isinstance(field.dataType, T.DecimalType):
+            return F.col(field.name).cast("double").alias(field.name)
         if isinstance(field.dataType, (T.DateType, T.TimestampNTZType)):
             return F.col(field.name).cast("string").alias(field.name)
         if not isinstance(field.dataType, T.DoubleType):
@@ -110,6 +113,20 @@ def _monthly_sketches(t: HotelTables) -> DataFrame:
     return trends.monthly_check(t, daily)
 
 
+def _loaded(table: str) -> Analysis:
+    """A raw form of a table, typed and filled by the loader's rules."""
+    return lambda t: many_csv.split_rows(load_raw(t, table), table, "hotel_id", "file")[0]
+
+
+def _rejected(t: HotelTables) -> DataFrame:
+    """Lines that break a rule, by table, file and reason."""
+    bad = [many_csv.split_rows(load_raw(t, table), table, "hotel_id", "file")[1] for table in RAW_VIEWS]
+    stacked = reduce(DataFrame.unionByName, bad)
+    return stacked.groupBy("hotel_id", "table_name", "file", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line")
+    )
+
+
 def _total_variance(t: HotelTables) -> DataFrame:
     """Number of principal components and the sum of their variances, per property."""
     found = grid.principal_components(grid.model_rows(t))
@@ -192,6 +209,10 @@ ANALYSES: dict[str, Query] = {
     "utm_split_untrimmed": _query(lambda t: ppc.utm_split(t, "website_daily_users", trim=False)),
     "utm_matches": _query(ppc.utm_matches),
     "utm_match_levels": _query(lambda t: ppc.utm_matches(t, with_all_levels=True)),
+    "load_booking_data": _query(_loaded("booking_data")),
+    "load_sessions": _query(_loaded("search_log_session")),
+    "load_daily_visitors": _query(_loaded("datepicker_daily_visitors")),
+    "rejected_lines": _query(_rejected),
     "base_stats": _query(profile.base_stats),
     "profile_tables": _query(profile.profile_tables),
     "row_counts": _query(profile.row_counts),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lodgelens.plans.daily import FEATURES, LAGS, SCALED, SERIES, WINDOWS
 from lodgelens.schema import CURRENCIES, PPC_PAIRS, PPC_SOURCES, SEGMENTS, TABLE_NAMES
-from lodgelens.sources.sample_views import VIEW_COLUMNS, with_views
+from lodgelens.sources.sample_views import VIEW_COLUMNS, raw_sql, with_views
 
 _IN_CURRENCIES = "currency in (" + ", ".join(f"'{c}'" for c in CURRENCIES) + ")"
 _PAIRS = ", ".join(f"'{p}'" for p in PPC_PAIRS)
@@ -345,6 +345,25 @@ select hotel_id, feature, round(score, 3) as f_score, rank from
 where rank <= 20"""
 
 
+_MISSING = "('', 'NA', 'NaN', 'null', 'N/A', 'NULL')"  # of the texts that stand for a missing value, those in the raw views
+
+
+def _money(name: str) -> str:
+    return f"cast(coalesce(try_cast(trim({name}) as decimal(14,2)), 0) as double) as {name}"
+
+
+_RAW_BOOKINGS = f"""raw as ({raw_sql("booking_data")}),
+judged as (select *, case
+    when trim(total_price_final) not in {_MISSING} and try_cast(trim(total_price_final) as decimal(14,2)) is null
+      then 'total_price_final: not a money'
+    when trim(vouchers_total_price) in {_MISSING} then 'vouchers_total_price: missing value in an integer column'
+    when try_cast(vouchers_total_price as decimal(25,6)) is null then 'vouchers_total_price: not an integer' end as reason from raw)"""
+_RAW_VISITORS = f"""raw as ({raw_sql("datepicker_daily_visitors")}),
+judged as (select *, case
+    when date not in {_MISSING} and try_cast(date as date) is null then 'date: not a date'
+    when session_count in {_MISSING} then 'session_count: missing value in an integer column' end as reason from raw)"""
+
+
 def _quality() -> str:
     parts = []
     for table in TABLE_NAMES:
@@ -656,6 +675,35 @@ where lower(utm_source_and_medium) like '%cpc%' group by hotel_id, utm_source_an
     "utm_match_levels": """
 select hotel_id, utm_source_and_medium, count(case when lower(utm_source_and_medium) like '%cpc%' then 1 end) as n
 from datepicker_daily_visitors group by hotel_id, utm_source_and_medium""",
+    "load_booking_data": f"""with {_RAW_BOOKINGS}
+select hotel_id, cast(search_log_id as bigint) as search_log_id, {", ".join(_money(c) for c in (
+    "total_price_final", "rooms_total_price", "upsell_total_price", "loyalty_discount_total", "redeemed_loyalty_points_total"))},
+       cast(cast(vouchers_total_price as decimal(25,6)) as int) as vouchers_total_price
+from judged where reason is null""",
+    "load_sessions": f"""with raw as ({raw_sql("search_log_session")})
+select hotel_id, cast(id as bigint) as id, case when uuid in {_MISSING} then null else uuid end as uuid,
+       cast(session_id as bigint) as session_id, case when utm_source in {_MISSING} then '0' else utm_source end as utm_source,
+       utm_medium, utm_campaign from raw""",
+    "load_daily_visitors": f"""with {_RAW_VISITORS}
+select hotel_id, try_cast(date as date) as date,
+       case when utm_source_and_medium in {_MISSING} then '0' else utm_source_and_medium end as utm_source_and_medium,
+       utm_campaign, cast(user_count as int) as user_count, cast(session_count as int) as session_count,
+       case when utm_source_and_medium in {_MISSING} then 'unknown' when position('/' in utm_source_and_medium) > 0
+            then trim(substr(utm_source_and_medium, 1, position('/' in utm_source_and_medium) - 1))
+            else trim(utm_source_and_medium) end as utm_source,
+       case when utm_source_and_medium in {_MISSING} or position('/' in utm_source_and_medium) = 0 then 'unknown'
+            else trim(substr(utm_source_and_medium, position('/' in utm_source_and_medium) + 1)) end as utm_medium
+from judged where reason is null""",
+    "rejected_lines": f"""with bookings as (with {_RAW_BOOKINGS}
+    select hotel_id, 'booking_data' as table_name, file, reason, concat_ws(';', search_log_id, total_price_final,
+           rooms_total_price, upsell_total_price, vouchers_total_price, loyalty_discount_total, redeemed_loyalty_points_total) as line
+    from judged where reason is not null),
+visitors as (with {_RAW_VISITORS}
+    select hotel_id, 'datepicker_daily_visitors' as table_name, file, reason,
+           concat_ws(';', date, utm_source_and_medium, utm_campaign, user_count, session_count) as line
+    from judged where reason is not null)
+select hotel_id, table_name, file, reason, count(*) as n, min(line) as first_line
+from (select * from bookings union all select * from visitors) x group by hotel_id, table_name, file, reason""",
     "base_stats": """
 select s.hotel_id, s.searches, s.avg_nights, s.avg_adults, b.bookings, o.avg_fill_rate
 from (select hotel_id, count(*) as searches, round(avg(nights), 6) as avg_nights, round(avg(adults), 6) as avg_adults
@@ -727,6 +775,7 @@ _AS_TEXT = {
     "daily_metrics": ("date",),
     "chronological_split": ("date",),
     "ts_folds": ("first_date", "last_date"),
+    "load_daily_visitors": ("date",),
 }
 _RANKED = ("segment_top3", "top_campaigns", "top_bookers", "price_diff_top5", "feature_selection")
 

@@ -65,34 +65,41 @@ def _upper_half(encoding: str) -> str:
     return bytes(range(0xA0, 0x100)).decode(encoding)
 
 
+def csv_options(sep: str, encoding: str, multiline: bool = False) -> dict[str, object]:
+    """Spark refuses single-byte encodings other than ISO-8859-1; such a file is read as that, which keeps every byte."""
+    return {
+        "header": True,
+        "sep": sep,
+        "encoding": encoding if encoding.upper() in SPARK_CSV_ENCODINGS else "ISO-8859-1",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multiline,
+    }
+
+
+def to_true_characters(columns: Iterable[str], encoding: str) -> list[Column]:
+    """Text columns read with :func:`csv_options`, mapped to the characters of their encoding."""
+    if encoding.upper() in SPARK_CSV_ENCODINGS:
+        return [F.col(f"`{c}`") for c in columns]
+    wrong, right = _upper_half("ISO-8859-1"), _upper_half(encoding)
+    return [F.translate(F.col(f"`{c}`"), wrong, right).alias(c) for c in columns]
+
+
 def scan_csv(
     spark: SparkSession, path: str | list[str], sep: str = ";", encoding: str = "UTF-8", multiline: bool = False
 ) -> DataFrame:
     """CSV with a header, all columns as text.
 
-    Spark refuses single-byte encodings other than ISO-8859-1.  Such a file is read as ISO-8859-1, which
-    keeps every byte, and each text column is then mapped to the true characters inside the scan's projection.
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.  A line with more fields than
+    Characters of encodings that Spark refuses are mapped inside the scan's projection.  ``multiline`` allows line breaks inside quotes, at the price of one task per file.  A line with more fields than
     the header is an error, as the surplus would be lost; a shorter line ends in nulls.
     """
-    direct = encoding.upper() in SPARK_CSV_ENCODINGS
-    options = {
-        "header": True,
-        "sep": sep,
-        "encoding": encoding if direct else "ISO-8859-1",
-        "quote": '"',
-        "escape": '"',
-        "multiLine": multiline,
-    }
+    options = csv_options(sep, encoding, multiline)
     columns = spark.read.csv(path, inferSchema=False, **options).columns
     fields = [T.StructField(name, T.StringType()) for name in (*columns, SURPLUS)]
     lost = F.raise_error(F.concat(F.lit("a line has more fields than the header: "), F.input_file_name()))
     whole = F.when(F.col(SURPLUS).isNotNull(), lost.cast("boolean")).otherwise(F.lit(True))
     raw = spark.read.csv(path, schema=T.StructType(fields), **options).where(whole).drop(SURPLUS)
-    if direct:
-        return raw
-    wrong, right = _upper_half("ISO-8859-1"), _upper_half(encoding)
-    return raw.select(*[F.translate(F.col(f"`{c}`"), wrong, right).alias(c) for c in raw.columns])
+    return raw.select(*to_true_characters(raw.columns, encoding))
 
 
 def _typed(table: str, name: str, kind: str) -> Column:
@@ -167,8 +174,8 @@ def validate(tables: HotelTables) -> dict[str, int]:
 def load_hotels(spark: SparkSession, folders: Mapping[int, str], **options: object) -> HotelTables:
     """Clean tables of several properties, one under the other.
 
-    For a handful of fresh exports.  A long history of many properties belongs in the partitioned Parquet
-    store (``sinks.write_store``), which is read as one scan whatever the number of properties.
+    For a handful of fresh exports, any bad line of which is an error.  ``many_csv.ManyHotels`` reads many exports with
+    few scans and sets bad lines aside; a long history belongs in the partitioned Parquet store (``store.write_store``).
     """
     loaded = [load_hotel(spark, folder, hotel_id, **options) for hotel_id, folder in sorted(folders.items())]
     return HotelTables(lambda table: _stacked(t[table] for t in loaded))
