@@ -648,7 +648,8 @@ select hotel_id, dimension, value, count(*) as searches, count(case when convers
              / nullif(count(case when conversion = 1 then 1 end), 0), 6) as avg_value
 from stacked group by hotel_id, dimension, value""",
     "utm_split": """with parts as (
-    select *, case when position('/' in utm_source_and_medium) > 0
+    select hotel_id, user_count, session_count,
+              case when utm_source_and_medium = '0' then 'unknown' when position('/' in utm_source_and_medium) > 0
                    then trim(substr(utm_source_and_medium, 1, position('/' in utm_source_and_medium) - 1))
                    else trim(utm_source_and_medium) end as utm_source,
               case when position('/' in utm_source_and_medium) > 0

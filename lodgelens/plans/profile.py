@@ -93,13 +93,12 @@ def data_quality(
     totals = folded.groupBy("table_name", "hotel_id").agg(
         F.sum("_missing").alias("missing_values"), F.sum("_n").alias("row_count")
     )
-    if not sizes:
-        return totals.withColumn("duplicate_rows", F.lit(0).cast("long"))
-    surplus = reduce(
-        DataFrame.unionByName, [_surplus(t[name], name, hashed, repeated, n) for name, n in sorted(sizes.items())]
-    )
-    joined = totals.join(surplus, ["table_name", "hotel_id"], "left")
-    return joined.withColumn("duplicate_rows", F.coalesce("duplicate_rows", F.lit(0).cast("long")))
+    counted = totals.withColumn("duplicate_rows", F.lit(0).cast("long"))
+    if sizes:
+        found = [_surplus(t[name], name, hashed, repeated, n) for name, n in sorted(sizes.items())]
+        joined = totals.join(reduce(DataFrame.unionByName, found), ["table_name", "hotel_id"], "left")
+        counted = joined.withColumn("duplicate_rows", F.coalesce("duplicate_rows", F.lit(0).cast("long")))
+    return counted.select("hotel_id", "table_name", "missing_values", "row_count", "duplicate_rows")
 
 
 def _others(table: DataFrame) -> list[Column]:
