@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by multi-index hashing (Norouzi, Punjani & Fleet).
 
 Vectors become binary codes: signs after rotations that iterative quantization (Gong & Lazebnik) learns from a bounded
-sample.  A code is split into substrings of 16 bits, each with an index of its own.  A code within Hamming radius r of
-a query differs by at most r / substrings bits in one of the substrings, so probing every bucket within that distance
-in every index finds all of them; those within r are ranked by their exact inner product.
-
-The index lives in blocks of rows, the queries in blocks too, and a task searches one block of queries in one block of
-the index; the best of all blocks are merged.  The radius is learned from the sample, so that it holds nearly all true
-neighbours there; a query that finds fewer than ``k`` searches again with the radius that holds every code.
+sample.  A code is split into substrings of 16 bits, each with an index of its own: rows sorted by substring, and where
+each value's rows start.  A query looks up, in every index, all values that differ in at most ``depth`` bits from its own
+substring; by the pigeonhole principle this retrieves every code within a Hamming radius of substrings * (depth + 1) - 1,
+and most codes far beyond it.  Retrieved codes within ``radius`` are ranked by their exact inner product.  No step
+passes over all rows; ``touched`` counts the rows that a query retrieved.
+
+Depth and radius are learned from the sample so that they hold nearly all true neighbours there, taken at the rank that
+the k-th neighbour of the whole table has in the sample.  A query that finds fewer than ``k`` searches again with the
+depth that holds every code.  Queries are broadcast in blocks of bounded bytes and meet the rows where those lie; a task
+indexes its rows, and gives each query's best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,22 +28,30 @@ from pyspark.sql import functions as F
 from lodgelens.session import StoredTables
 
 K = 20
-ROTATIONS = 2
+LEAST_BITS = 448  # of a code; short vectors take several rotations
 SAMPLE_ROWS = 4096
 SAMPLE_QUERIES = 256
-HELD = 0.985  # share of the sample's true neighbours that the radius holds
-INDEX_ROWS = 4096
-QUERY_ROWS = 4096
-RESULT = "query_id long, vec_id long, score double"
+HELD_BY_DEPTH = 0.95  # share of the sample's true neighbours that the depth holds
+HELD_BY_RADIUS = 0.985
+INDEX_ROWS = 16_384  # rows that are indexed together; fewer where vectors are long
+INDEX_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20  # of queries that are broadcast together
+QUERIES_AT_ONCE = 64
+SUBSTRING = 16
+RESULT = "query_id long, vec_id long, score double, touched long"
 
 
 @dataclass(frozen=True)
 class Coder:
-    """Rotations (dimensions x bits each), the norm that inner products are lifted with, and the learned radius."""
+    """Rotations (dimensions x bits each), the norm that inner products are lifted with, learned radius and depth."""
 
     rotations: np.ndarray
     lift: float  # 0: all norms are equal
     radius: int
+    depth: int
+
+    def exhaustive(self) -> Coder:
+        return Coder(self.rotations, self.lift, self.bits, SUBSTRING)
 
     @property
     def bits(self) -> int:
@@ -78,49 +91,77 @@ def quantize(vectors: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
     return rotation
 
 
-def learn_coder(sample: np.ndarray, lift: float, k: int = K, rotations: int = ROTATIONS) -> Coder:
+def learn_coder(sample: np.ndarray, lift: float, n: int, k: int = K, rotations: int | None = None) -> Coder:
+    """``n``: rows of the whole table, of which ``sample`` is a random part."""
     rows = lifted(sample, lift, False)
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    coder = Coder(np.stack([quantize(unit, seed) for seed in range(rotations)]), lift, 0)
+    count = rotations or -(-LEAST_BITS // rows.shape[1])
+    coder = Coder(np.stack([quantize(unit, seed) for seed in range(count)]), lift, 0, 0).exhaustive()
+    rank = max(1, round(k * len(sample) / n))
     asked = sample[:SAMPLE_QUERIES]
-    codes, query_codes, found = coder.codes(sample), coder.codes(asked, query=True), []
+    codes, query_codes, far, parts = coder.codes(sample), coder.codes(asked, query=True), [], []
     for at in range(len(asked)):
         near = sample @ asked[at]
         near[at] = -np.inf
-        best = np.argsort(-near)[: min(k, len(sample) - 1)]
-        found.append(distances(codes[best], query_codes[at]))
-    seen = np.concatenate(found) if found else np.zeros(0)
-    radius = int(np.ceil(np.quantile(seen, HELD))) if len(seen) >= 20 * k else coder.bits
-    return Coder(coder.rotations, lift, radius)
+        best = np.argsort(-near)[: min(rank, len(sample) - 1)]
+        bits = np.bitwise_count(codes[best] ^ query_codes[at])
+        far.append(bits.sum(axis=1, dtype=np.int64))
+        parts.append(bits.min(axis=1))
+    if len(sample) < 20 * k:
+        return coder
+    hold = lambda found, share: int(np.ceil(np.quantile(np.concatenate(found), share)))
+    return Coder(coder.rotations, lift, hold(far, HELD_BY_RADIUS), hold(parts, HELD_BY_DEPTH))
+
 
+@cache
+def flips(depth: int) -> np.ndarray:
+    """All 16-bit masks of at most ``depth`` bits."""
+    masks = np.arange(1 << SUBSTRING, dtype=np.uint16)
+    return masks[np.bitwise_count(masks) <= depth]
 
-class BlockIndex:
-    """One block of vectors with an index per substring."""
 
-    NEAR = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+class Index:
+    """Some rows with an index per substring: row numbers sorted by its value, and where each value starts."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, coder: Coder):
         self.ids, self.vectors, self.codes = ids, vectors, coder.codes(vectors)
-        self.buckets = [np.unique(column, return_inverse=True) for column in self.codes.T]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within ``radius``: probed by pigeonhole, then confirmed."""
-        probe = radius // len(code)
-        seen = np.zeros(len(self.ids), dtype=bool)
-        for (values, bucket), part in zip(self.buckets, code):
-            seen |= (self.NEAR[values ^ part] <= probe)[bucket]
-        rows = np.flatnonzero(seen)
-        return rows[distances(self.codes[rows], code) <= radius]
-
-    def best(self, query_id: int, query: np.ndarray, code: np.ndarray, radius: int, k: int):
-        rows = self.within(code, radius)
-        rows = rows[self.ids[rows] != query_id]
-        scores = self.vectors[rows] @ query
-        if len(rows) > k:
-            least = np.partition(scores, len(scores) - k)[len(scores) - k]
-            rows, scores = rows[scores >= least], scores[scores >= least]
-        order = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][order], scores[order]
+        self.sorted, self.starts = [], []
+        for column in self.codes.T:
+            order = np.argsort(column, kind="stable")
+            self.sorted.append(order)
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(column, minlength=1 << SUBSTRING))]))
+
+    def retrieved(self, codes: np.ndarray, depth: int) -> np.ndarray:
+        """Query x row: whether one of the row's substrings is within ``depth`` bits of the query's; by look-up only."""
+        n, masks = len(self.ids), flips(depth)
+        seen = np.zeros(len(codes) * n, dtype=bool)
+        first_of = np.arange(len(codes))[:, None] * n
+        for part, order, starts in zip(codes.T, self.sorted, self.starts):
+            values = (part[:, None] ^ masks).astype(np.int64)
+            begin, size = starts[values], starts[values + 1] - starts[values]
+            some = np.nonzero(size)
+            sizes, begins, bases = size[some], begin[some], np.broadcast_to(first_of, size.shape)[some]
+            ends = np.cumsum(sizes)
+            if len(ends):
+                places = np.arange(ends[-1]) + np.repeat(begins - (ends - sizes), sizes)
+                seen[np.repeat(bases, sizes) + order[places]] = True
+        return seen.reshape(len(codes), n)
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, coder: Coder, k: int) -> Iterator[tuple]:
+        """Per query its id, ids and scores of the best rows found, and how many rows were retrieved."""
+        for begin in range(0, len(queries), QUERIES_AT_ONCE):
+            part = slice(begin, begin + QUERIES_AT_ONCE)
+            seen = self.retrieved(codes[part], coder.depth)
+            for query_id, query, code, mine in zip(query_ids[part], queries[part], codes[part], seen):
+                rows = np.flatnonzero(mine)
+                touched = len(rows)
+                rows = rows[(distances(self.codes[rows], code) <= coder.radius) & (self.ids[rows] != query_id)]
+                points = self.vectors[rows] @ query
+                if len(rows) > k:
+                    least = np.partition(points, len(points) - k)[len(points) - k]
+                    rows, points = rows[points >= least], points[points >= least]
+                order = np.lexsort((self.ids[rows], -points))[:k]
+                yield query_id, self.ids[rows][order], points[order], touched
 
 
 def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -133,15 +174,16 @@ def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", rotations: int = ROTATIONS
+    vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", rotations: int | None = None
 ) -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` largest inner products found for every query.
+    """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``, ``touched``: the ``k`` largest inner products found for
+    every query, and the number of rows that it retrieved.
 
     ``is_query`` chooses the queries by ``vec_id``.  A row is never its own neighbour, nor is another vector under its
-    id; of several vectors under a query's id the smallest one asks.  Vectors take no part if they or their id are null,
-    if they are zero or hold a component that is null or not finite, or if they have another length than most.  Equal
-    scores go by ``vec_id``; fewer than ``k`` candidates are all returned; an empty table gives no rows.  Further
-    columns are ignored.
+    id; of several vectors under a query's id the smallest one asks.  A candidate id with several vectors may be listed
+    once for each of them.  Vectors take no part if they or their id are null, if they are zero or hold a component that
+    is null or not finite, or if they have another length than most.  Equal scores go by ``vec_id``; fewer than ``k``
+    candidates are all returned; an empty table gives no rows.  Further columns are ignored.
     """
     spark = vectors.sparkSession
     store = StoredTables(spark, "neighbours")
@@ -154,54 +196,85 @@ def search(
         .first()
     )
     if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vec") == common["length"])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, touched long")
+    n, length = common["n"], common["length"]
+    rows = rows.where(F.size("vec") == length)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(SAMPLE_ROWS).collect()
     lift = 0.0 if common["high"] - common["low"] < 1e-4 * common["high"] else common["high"]
-    coder = learn_coder(np.array([r["vec"] for r in sample], dtype=np.float64), lift, k, rotations)
-    queries = store.put(rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
-    asked = queries.count()
-    found = store.put(_best(rows, common["n"], queries, asked, coder, coder.radius, k), "found")
-    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, common["n"] - 1))
+    coder = learn_coder(np.array([r["vec"] for r in sample], dtype=np.float64), lift, n, k, rotations)
+    size = max(1, min(INDEX_ROWS, INDEX_BYTES // (8 * length)))
+    dealt = store.put(rows.repartition(-(-n // size), "vec_id", "vec"), "dealt")
+    store.drop("valid")
+    queries = store.put(dealt.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vec").alias("vec")), "queries")
+    found = _best(store, "found", dealt, queries, coder, size, k)
+    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1))
     short = store.put(queries.join(enough, "query_id", "left_anti"), "short")
-    left = short.count()
-    if left:
-        again = _best(rows, common["n"], short, left, coder, coder.bits, k)
+    if not short.isEmpty():
+        again = _best(store, "again", dealt, short, coder.exhaustive(), size, k)
         found = found.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
-
-
-def _best(rows: DataFrame, n: int, queries: DataFrame, asked: int, coder: Coder, radius: int, k: int) -> DataFrame:
-    """The ``k`` best of every query in every block of the index."""
-    blocks, parts = -(-n // INDEX_ROWS), max(1, -(-asked // QUERY_ROWS))
-
-    def everywhere(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    def block(count: int, name: str) -> Column:
-        return F.pmod(F.xxhash64(name, "vec"), F.lit(count)).cast("int")
-
-    index = rows.select("vec_id", "vec", block(blocks, "vec_id").alias("block"), everywhere(parts).alias("part"))
-    asking = queries.select("query_id", "vec", block(parts, "query_id").alias("part"), everywhere(blocks).alias("block"))
-
-    def run(index: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(asking):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        table = BlockIndex(index["vec_id"].to_numpy(np.int64), np.stack(index["vec"].to_numpy()).astype(np.float64), coder)
-        points = np.stack(asking["vec"].to_numpy()).astype(np.float64)
-        codes = coder.codes(points, query=True)
-        ids = asking["query_id"].to_numpy(np.int64)
-        best = [table.best(i, p, c, radius, k) for i, p, c in zip(ids, points, codes)]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(ids, [len(near) for near, _ in best]),
-                "vec_id": np.concatenate([near for near, _ in best]),
-                "score": np.concatenate([scores for _, scores in best]),
-            }
-        )
-
-    pair = ("block", "part")
-    return index.groupBy(*pair).cogroup(asking.groupBy(*pair)).applyInPandas(run, RESULT)
+    everything = W.partitionBy("query_id")
+    touched = F.sum(F.when(F.col("first"), F.col("touched"))).over(everything)
+    order = F.row_number().over(everything.orderBy(F.desc("score"), "vec_id"))
+    ranked = found.withColumns({"touched": touched, "rank": order}).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", "touched")
+
+
+def _blocks(queries: DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries in blocks of bounded bytes, fetched one partition at a time."""
+    ids, points = [], []
+    for row in queries.toLocalIterator():
+        ids.append(row["query_id"])
+        points.append(row["vec"])
+        if len(ids) * length * 8 >= QUERY_BYTES:
+            yield np.array(ids, np.int64), np.array(points, np.float64)
+            ids, points = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(points, np.float64)
+
+
+def _best(store: StoredTables, label: str, rows: DataFrame, queries: DataFrame, coder: Coder, size: int, k: int) -> DataFrame:
+    """The ``k`` best rows of every query in every task; ``first`` marks one row per query and index, which has ``touched``."""
+    spark, schema = rows.sparkSession, f"{RESULT}, first boolean"
+    blocks = 0
+    for ids, points in _blocks(queries, coder.rotations.shape[1]):
+        shared = spark.sparkContext.broadcast((ids, points, coder.codes(points, query=True), coder))
+        store.put(rows.mapInArrow(_searcher(shared, size, k), schema), f"{label}/block={blocks}")
+        blocks += 1
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, block int").parquet(f"{store.folder}/{label}").drop("block")
+
+
+def _searcher(shared, size: int, k: int):
+    def search_index(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        query_ids, points, codes, coder = shared.value
+        table = pa.Table.from_batches(held).combine_chunks()
+        vectors = table.column("vec").chunk(0).flatten().to_numpy().reshape(table.num_rows, -1)
+        index = Index(table.column("vec_id").to_numpy(), vectors, coder)
+        out = [part for part in index.best(query_ids, points, codes, coder, k) if len(part[1])]
+        sizes = np.array([len(near) for _, near, _, _ in out], dtype=np.int64)
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        first = np.zeros(int(sizes.sum()), dtype=bool)
+        first[np.cumsum(sizes) - sizes] = True
+        columns = [
+            np.repeat(np.array([q for q, _, _, _ in out], np.int64), sizes),
+            joined([near for _, near, _, _ in out], np.int64),
+            joined([score for _, _, score, _ in out], np.float64),
+            np.repeat(np.array([t for _, _, _, t in out], np.int64), sizes),
+            first,
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score", "touched", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= size:
+                yield search_index(held)
+                held, n = [], 0
+        if held:
+            yield search_index(held)
+
+    return run
