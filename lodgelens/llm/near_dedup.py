@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelens.llm.common import grows, text_of
@@ -31,6 +31,7 @@ SIMILARITY = (85, 100)
 SKETCH = 64
 TREES = 8
 LEAF = 4096
+LIST_BYTES = 64 << 20  # of full sets that a task compares at a time; longer lists go by pairs of blocks
 MAX_DEPTH = 20
 SLACK = 4.0  # standard deviations of a sketch's estimate below the similarity that still count as candidates
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sketch array<int>"
@@ -169,7 +170,7 @@ class PathJoin:
         self.reps = store.put(
             self.signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
             .groupBy("digest")
-            .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")),
+            .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")),
             "reps",
         )
         self.number = 0
@@ -225,11 +226,31 @@ class PathJoin:
         met = self.members(lists, self.reps.select("rep", "sketch"), "sketch")
         return self.put(met.mapInArrow(run, "reps array<long>").where(F.size("reps") > 1).distinct(), "alike")
 
-    def members(self, lists: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        """Every list with its documents' ``value`` (one column, an array of structs of at most LEAF documents)."""
+    def members(self, lists: DataFrame, table: DataFrame, value: str, bounded: bool = False) -> DataFrame:
+        """Every list with its documents' ``value`` (one column, an array of structs of at most LEAF documents).
+
+        ``bounded`` lists are cut into blocks by the bytes of their documents' full sets, and every pair of blocks is a
+        list of its own, so that no task gathers more than LIST_BYTES and two sets.
+        """
         numbered = self.put(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
-        rows = numbered.select("list", F.explode("reps").alias("rep")).join(grows(table), "rep")
-        return rows.groupBy("list").agg(F.collect_list(F.struct("rep", value)).alias("members")).select("members")
+        rows = numbered.select("list", F.explode("reps").alias("rep"))
+        keys = ["list"]
+        if bounded:
+            rows, keys = self.paired(rows), ["list", "one", "two"]
+        found = rows.join(grows(table), "rep").groupBy(*keys)
+        return found.agg(F.collect_list(F.struct("rep", value)).alias("members")).select("members")
+
+    def paired(self, rows: DataFrame) -> DataFrame:
+        """(list, rep) once per pair of blocks ``one``, ``two`` that the document's block takes part in."""
+        sized = rows.join(grows(self.reps.select("rep", (8 * F.col("size")).alias("bytes"))), "rep")
+        whole = Window.partitionBy("list")
+        before = F.sum("bytes").over(whole.orderBy("rep")) - F.col("bytes")
+        blocked = sized.select("list", "rep", F.floor(before / (LIST_BYTES // 2)).alias("block"))
+        told = blocked.withColumn("last", F.max("block").over(whole))
+        others = told.select("list", "rep", "block", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
+        # a block meets itself in any of its pairs
+        used = others.where((F.col("block") != F.col("other")) | (F.col("last") == 0))
+        return used.select("list", "rep", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
 
     def verified(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
         """A spanning forest of the links in every list, on full sets."""
@@ -253,7 +274,7 @@ class PathJoin:
                     [pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"]
                 )
 
-        return self.members(lists, sets, "tokens").mapInArrow(run, "a long, b long").where("a <> b")
+        return self.members(lists, sets, "tokens", bounded=True).mapInArrow(run, "a long, b long").where("a <> b")
 
     def with_leader(self, rows: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
         """Links of the documents of large nodes with one of them, on full sets."""

@@ -411,3 +411,20 @@ def test_neighbours_look_up_every_code_within_the_guaranteed_radius():
             parts = np.bitwise_count(codes ^ code)
             assert (mine == (parts.min(axis=1) <= depth)).all()
             assert mine[parts.sum(axis=1) <= 4 * (depth + 1) - 1].all()
+
+
+def test_lists_of_long_near_copies_are_compared_in_bounded_blocks(spark, monkeypatch):
+    """Near copies whose sets are many times the byte budget: no list exceeds it by more than two sets, no link is lost."""
+    monkeypatch.setattr(near_dedup, "LIST_BYTES", 40_000)
+    base = [f"w{n}" for n in range(2000)]  # a set of 1,996 shingles has 16 kB
+    rows = [(n, " ".join(base[:1000] + [f"x{n}"] + base[1001:])) for n in range(12)] + [(50, " ".join(base[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs).collect()}
+    assert got == {**dict.fromkeys(range(12), 0), 50: 50}
+    store = near_dedup.StoredTables(spark, "test-blocks")
+    join = near_dedup.PathJoin(docs, 5, (85, 100), 2, store)
+    lists = spark.createDataFrame([(list(range(12)),)], "reps array<long>")
+    sets = near_dedup.shingle_sets(docs, spark.range(12).withColumnRenamed("id", "rep"))
+    found = [[m["rep"] for m in r["members"]] for r in join.members(lists, sets, "tokens", bounded=True).collect()]
+    assert max(len(f) for f in found) <= 40_000 // 16_000 + 2 < 12
+    assert {(a, b) for f in found for a in f for b in f} == {(a, b) for a in range(12) for b in range(12)}
