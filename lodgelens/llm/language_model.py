@@ -9,6 +9,11 @@ Given the numbers of tables per restaurant, the seating of one word's customers
 the corpus is dealt out by word: a task holds all of its words' customers in every restaurant, sweeps over them, and
 scores the words' occurrences.  The numbers of tables are summed over all tasks between two rounds of sweeps.
 
+A sweep is a Gibbs sweep.  The number of tables of a cell (a word's customers in one restaurant) is drawn from its
+conditional distribution, with weights S(customers, tables) * weight^tables, where S are the generalised Stirling
+numbers and the weight is that of a new table.  In cells too large for a table of those numbers, customers are removed
+and seated again one at a time: at a table with a chance as its size less the discount, at a new one as the weight.
+
 The ``FREQUENT`` commonest words take up most tokens.  Where one follows another, occurrences are never shuffled: their
 counts per pair are summed in the tasks that read the documents, and their probabilities (at most (CONTEXTS + 1) *
 FREQUENT numbers, a fixed bound) are broadcast.  A pair of a frequent word behind a rare one is dealt out by the rare
@@ -19,6 +24,7 @@ blocks with customers in it (``exchange``).
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -41,7 +47,8 @@ ROUNDS = 2
 BURN_IN = 2
 SAMPLES = 4
 TASK_TOKENS = 1_500_000
-EXACT_CUSTOMERS = 256
+DRAWN_CUSTOMERS = 256  # cells up to this size are drawn at once, in larger ones customers move one at a time
+MOVES = 8  # of a large cell's customers per sweep
 COUNTED_WORDS = 400_000
 HELD_TOKENS = 1_500_000
 BUCKETS = 4  # per task
@@ -290,36 +297,116 @@ def frequent_blocks(cells: DataFrame, parts: int) -> DataFrame:
     return cells.repartition(parts, "bucket").mapInArrow(run, BLOCK)
 
 
-def seat(
-    customers: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator
-) -> tuple[np.ndarray, np.ndarray]:
-    """Tables after seating each cell's customers one after another, and the log of the proposal's weight.
-
-    ``weight`` is that of a new table, (strength + discount * tables of the restaurant) * parent probability.  Behind
-    the first EXACT_CUSTOMERS, customers come in runs of a twentieth of those seated, with one binomial draw per run.
-    """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    logs = np.zeros(len(customers))
-    order = np.argsort(-customers, kind="stable")
-    sorted_customers = customers[order]
-    seated = 1
+@functools.lru_cache(maxsize=4)
+def stirling(discount: float, size: int = DRAWN_CUSTOMERS) -> np.ndarray:
+    """log S(c, t) for c, t up to ``size``: the weight of all ways to seat c customers at t tables."""
+    out = np.full((size + 1, size + 1), -np.inf)
+    out[0, 0] = 0.0
+    tables = np.arange(size + 1)
+    for c in range(size):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            old = out[c] + np.log(np.maximum(c - discount * tables, 0.0))
+        out[c + 1] = np.logaddexp(np.where(np.isnan(old), -np.inf, old), np.append(-np.inf, out[c, :-1]))
+    return out
+
+
+class Cells:
+    """Numbers of tables of cells with at least two customers, and Gibbs sweeps over them."""
+
+    AT_ONCE = 1 << 21  # numbers of a matrix of weights
+
+    def __init__(self, customers: np.ndarray, random: np.random.Generator):
+        self.customers, self.random = customers, random
+        order = np.argsort(customers, kind="stable")
+        small = order[: np.searchsorted(customers[order], DRAWN_CUSTOMERS, side="right")]
+        self.groups = np.split(small, _starts(customers[small])[1:]) if len(small) else []
+        self.large = order[len(small) :]
+        self.moved: Seats | None = None
+
+    def sweep(self, weight: np.ndarray, discount: float) -> np.ndarray:
+        """Tables of every cell, given the weight of a new one in each."""
+        tables = np.empty(len(self.customers))
+        logs = stirling(round(discount, 6))
+        for cells in self.groups:
+            c = int(self.customers[cells[0]])
+            ways, numbers = logs[c, 1 : c + 1], np.arange(1, c + 1)
+            for begin in range(0, len(cells), max(1, self.AT_ONCE // c)):
+                part = cells[begin : begin + max(1, self.AT_ONCE // c)]
+                score = ways + np.log(weight[part])[:, None] * numbers
+                score -= score.max(axis=1, keepdims=True)
+                upto = np.exp(score, out=score).cumsum(axis=1, out=score)
+                drawn = self.random.random(len(part)) * upto[:, -1]
+                tables[part] = np.minimum((upto <= drawn[:, None]).sum(axis=1), c - 1) + 1
+        if len(self.large):
+            if self.moved is None:
+                self.moved = Seats(self.customers[self.large], weight[self.large], discount, self.random)
+            for _ in range(MOVES):
+                self.moved.move(weight[self.large], discount)
+            tables[self.large] = self.moved.tables
+        return tables
+
+
+class Seats:
+    """Customers of large cells by table.  They start as if seated one after another (see ``first_tables``)."""
+
+    def __init__(self, customers: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator):
+        self.customers, self.random = customers.astype(np.int64), random
+        self.tables = first_tables(self.customers, weight, discount, random)
+        room = self.tables + MOVES * (BURN_IN + SAMPLES)
+        self.used = np.cumsum(room) - room  # the next free place of each cell
+        self.sizes = np.zeros(int(room.sum()), np.int64)
+        for cell, (start, n) in enumerate(zip(self.used, self.tables)):
+            share = random.dirichlet(np.full(n, 1.0 - discount)) if n > 1 else np.ones(1)
+            self.sizes[start : start + n] = 1 + random.multinomial(self.customers[cell] - n, share)
+        self.used += self.tables
+        self.before = np.cumsum(self.customers) - self.customers
+
+    def move(self, weight: np.ndarray, discount: float) -> None:
+        """One customer of every cell, drawn at random, gets up and is seated again."""
+        upto, n = np.cumsum(self.sizes), len(self.customers)
+        who = (self.random.random(n) * self.customers).astype(np.int64)
+        left = np.searchsorted(upto, self.before + who, side="right")
+        self.sizes[left] -= 1
+        gone = self.sizes[left] == 0
+        self.tables -= gone
+        alone = weight / (weight + (self.customers - 1) - discount * self.tables)
+        new = self.random.random(n) < alone
+        place = np.where(gone, left, self.used)
+        self.used += new & ~gone
+        rest = np.flatnonzero(~new)
+        while len(rest):  # the table of another customer, drawn at random, is taken with a chance of 1 - discount / its size
+            other = (self.random.random(len(rest)) * (self.customers[rest] - 1)).astype(np.int64)
+            other += other >= who[rest]
+            table = np.searchsorted(upto, self.before[rest] + other, side="right")
+            taken = self.random.random(len(rest)) < 1.0 - discount / self.sizes[table]
+            place[rest[taken]] = table[taken]
+            rest = rest[~taken]
+        self.sizes[place] += 1
+        self.tables += new
+
+
+def first_tables(customers: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Numbers of tables to start from: customers come in runs of a twentieth of those seated, one draw per run."""
+    tables, seated = np.ones(len(customers)), 1
     while True:
-        active = order[: np.searchsorted(-sorted_customers, -seated, side="left")]  # more customers than seated
+        active = np.flatnonzero(customers > seated)
         if not len(active):
-            return tables, logs
-        run = 1 if seated < EXACT_CUSTOMERS else seated // 20
-        total = weight[active] + seated - discount * tables[active]
-        new = weight[active] / total
-        if run == 1:
-            tables[active] += random.random(len(active)) < new
-            logs[active] += np.log(total)
-        else:
-            n = np.minimum(customers[active] - seated, run)
-            tables[active] += random.binomial(n, np.minimum(new, 1.0))
-            logs[active] += n * np.log(total)
+            return tables.astype(np.int64)
+        run = max(1, seated // 20)
+        new = weight[active] / (weight[active] + seated - discount * tables[active])
+        tables[active] += random.binomial(np.minimum(customers[active] - seated, run), np.minimum(new, 1.0))
         seated += run
 
 
+def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+    """Tables of cells of any size, drawn given the weight of a new one."""
+    tables = np.minimum(customers, 1).astype(np.float64)
+    many = np.flatnonzero(customers > 1)
+    if len(many):
+        tables[many] = Cells(customers[many], random).sweep(weight[many], discount)
+    return tables
+
+
 class Restaurants:
     """Discounts and the totals of the frequent restaurants, from the sums over all blocks."""
 
@@ -364,9 +451,9 @@ class Seating:
         self.word = np.repeat(np.arange(len(self.words)), self.sizes)
         self.random = np.random.default_rng([seed, block["block"], *(int(x) & (2**63 - 1) for x in (self.words[0], self.context[0]))])
         self.tables = np.minimum(self.customers, 1).astype(np.float64)
-        self.logs = None
         self.root_tables = np.minimum(self.counts, 1).astype(np.float64)
         self.many = np.flatnonzero(self.customers > 1)
+        self.cells = Cells(self.customers[self.many], self.random)
         self.own = np.flatnonzero(self.words < 0)  # all customers of a rare word are here, so it is seated at the root too
         far = self.context < 0
         self.rare, at = np.unique(self.context[far], return_inverse=True)
@@ -393,23 +480,14 @@ class Seating:
     def root_customers(self) -> np.ndarray:
         return np.bincount(self.word, weights=self.tables, minlength=len(self.words))
 
-    def accept(self, was: np.ndarray | None, now: np.ndarray) -> np.ndarray:
-        """Metropolis-Hastings: a proposed seating's weight over that of the present one."""
-        if was is None:
-            return np.ones(len(now), dtype=bool)
-        return np.log(1.0 - self.random.random(len(now))) < now - was
-
     def sweep(self) -> None:
         house, many = self.house, self.many
         weight = self.new_table[self.slot[many]] * self.root()[self.word[many]]
-        tables, logs = seat(self.customers[many], weight, house.discount, self.random)
-        better = self.accept(self.logs, logs)
-        self.logs = logs if self.logs is None else np.where(better, logs, self.logs)
-        self.tables[many[better]] = tables[better]
+        self.tables[many] = self.cells.sweep(weight, house.discount)
         at_root = self.root_customers()[self.own].astype(np.int64)
-        tables, _ = seat(at_root, np.full(len(at_root), house.new_root_table()), house.root_discount, self.random)
-        # the customers of the root change in every sweep, so its seating is drawn anew
-        self.root_tables[self.own] = tables
+        # the customers of the root change in every sweep, so its tables are drawn given those of the contexts
+        weight = np.full(len(at_root), house.new_root_table())
+        self.root_tables[self.own] = draw_tables(at_root, weight, house.root_discount, self.random)
 
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean totals of tables, tables per rare context summed over the samples, and mean probability per cell."""
@@ -541,7 +619,7 @@ def seat_frequent(totals: np.ndarray, seed: int) -> Restaurants:
     tables = np.minimum(house.at_root, 1.0)
     totals[2 * m + 1] += tables.sum()
     new = np.full(FREQUENT, Restaurants(totals).new_root_table())
-    drawn, _ = seat(np.rint(house.at_root).astype(np.int64), new, house.root_discount, np.random.default_rng(seed))
+    drawn = draw_tables(np.rint(house.at_root).astype(np.int64), new, house.root_discount, np.random.default_rng(seed))
     totals[2 * m + 1] += drawn.sum() - tables.sum()
     totals[2 * m + 8 + 2 * FREQUENT :] = drawn
     return Restaurants(totals)
