@@ -243,13 +243,13 @@ select * from scaled where {complete}"""
 
 
 def _twins(seed: int = 42, noise: float = 0.1) -> str:
-    def uniform(feature: str, tag: str) -> str:
-        key = f"concat_ws('|', '{seed}', '{feature}', '{tag}', cast(hotel_id as varchar), cast(date as varchar))"
-        return f"((cast(cast('0x' || substr(md5({key}), 1, 13) as bigint) as double) + 0.5) / {1 << 52})"
+    def uniform(feature: str, first: int) -> str:
+        key = f"concat_ws('|', '{seed}', '{feature}', cast(hotel_id as varchar), cast(date as varchar))"
+        return f"((cast(cast('0x' || substr(md5({key}), {first}, 13) as bigint) as double) + 0.5) / {1 << 52})"
 
     twins = ", ".join(
-        f"cast({f} as double) + case when copy = 0 then 0 else {noise} * sqrt(-2 * ln({uniform(f, 'radius')}))"
-        f" * cos({_TAU} * {uniform(f, 'angle')}) end as {f}"
+        f"cast({f} as double) + case when copy = 0 then 0 else {noise} * sqrt(-2 * ln({uniform(f, 1)}))"
+        f" * cos({_TAU} * {uniform(f, 20)}) end as {f}"
         for f in ["fill_rate", *FEATURES]
     )
     return f"""{_FEATURES_EXACT},
@@ -593,6 +593,24 @@ select s.hotel_id, strftime(cast(utc_datetime as date), '%Y-%m') as month, count
        true as median_within
 from search_log s left join search_log_session u on u.hotel_id = s.hotel_id and u.id = s.search_log_session_id
 group by 1, 2""",
+    "report_fields": f"""with {_PREDICTIONS},
+m as (select hotel_id, sqrt(avg(residual * residual)) as rmse, avg(abs(residual)) as mae,
+             1 - sum(residual * residual) / (var_pop(label) * count(*)) as r2 from predictions group by hotel_id),
+q as ({_quality()}),
+b as (select hotel_id, count(*) as bookings from search_log
+      where conversion = 1 and cast(utc_datetime as date) = date '1998-06-01' group by hotel_id),
+o as (select hotel_id, avg(fill_rate) as occupancy_rate from daily_occupancy
+      where recording_date = subject_date and subject_date = date '1998-06-01' group by hotel_id),
+v as (select hotel_id, cast(sum(user_count) as bigint) as website_visitors from website_daily_users
+      where date = date '1998-06-01' group by hotel_id),
+d as (select hotel_id from b union select hotel_id from o union select hotel_id from v)
+select m.hotel_id, '1998-06-01' as report_date, '1998-06-01 12:00:00' as timestamp, 'last_week' as model_name,
+       round(rmse, 6) as rmse, round(mae, 6) as mae, round(r2, 6) as r2, round(rmse - 8.35, 6) as rmse_vs_baseline,
+       table_name, missing_values, row_count, duplicate_rows,
+       case when d.hotel_id is not null then coalesce(bookings, 0) end as bookings, round(occupancy_rate, 6) as occupancy_rate,
+       case when d.hotel_id is not null then coalesce(website_visitors, 0) end as website_visitors
+from m left join q on q.hotel_id = m.hotel_id left join d on d.hotel_id = m.hotel_id left join b on b.hotel_id = m.hotel_id
+left join o on o.hotel_id = m.hotel_id left join v on v.hotel_id = m.hotel_id""",
     "metric_history": f"""with {_PREDICTIONS},
 days as (select unnest([date '1995-06-01', date '1997-06-01', date '1998-06-01']) as day),
 m as (select hotel_id, day, sqrt(avg(residual * residual)) as rmse, avg(abs(residual)) as mae,

@@ -150,15 +150,16 @@ def keyed_normal(seed: int, name: str, *keys: str) -> str:
     """SQL text of standard normal noise that is a pure function of (seed, name, keys).
 
     Unlike ``randn`` it does not depend on how the rows are partitioned, so a task that is run again after
-    the loss of an executor gives the same numbers.  The uniforms are 52 bits of an MD5 digest, which other
-    engines can compute too.
+    the loss of an executor gives the same numbers.  The two uniforms are the first and the last 52 bits of one
+    MD5 digest, which other engines can compute too.
     """
-    def uniform(tag: str) -> str:
-        parts = ", ".join(f"CAST({key} AS STRING)" for key in keys)
-        bits = f"conv(substr(md5(concat_ws('|', '{seed}', '{name}', '{tag}', {parts})), 1, 13), 16, 10)"
-        return f"((CAST({bits} AS DOUBLE) + 0.5D) / {float(1 << 52)!r}D)"
+    parts = ", ".join(f"CAST({key} AS STRING)" for key in keys)
+    digest = f"md5(concat_ws('|', '{seed}', '{name}', {parts}))"
 
-    return f"(sqrt(-2 * ln({uniform('radius')})) * cos(2 * pi() * {uniform('angle')}))"
+    def uniform(first: int) -> str:
+        return f"((CAST(conv(substr({digest}, {first}, 13), 16, 10) AS DOUBLE) + 0.5D) / {float(1 << 52)!r}D)"
+
+    return f"(sqrt(-2 * ln({uniform(1)})) * cos(2 * pi() * {uniform(20)}))"
 
 
 # -- report formatting -------------------------------------------------------------------------------------

@@ -81,12 +81,14 @@ def daily_features(t: HotelTables, include_current: bool = True) -> DataFrame:
 
 
 def with_noisy_twins(rows: DataFrame, seed: int, noise: float = NOISE) -> DataFrame:
-    """Each row followed by a twin (``copy`` 1) with normal noise on every column, target included."""
-    doubled = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    shaken = [
-        f"CAST({c} AS DOUBLE) + CASE WHEN copy = 0 THEN 0D ELSE {noise}D * {keyed_normal(seed, c, 'hotel_id', 'date')} END AS {c}"
-        for c in (TARGET, *FEATURES)
-    ]
+    """Each row followed by a twin (``copy`` 1) with normal noise on every column, target included.
+
+    The noise is drawn once per day and column, before a day becomes two rows.
+    """
+    columns = (TARGET, *FEATURES)
+    drawn = [f"{noise}D * {keyed_normal(seed, c, 'hotel_id', 'date')} AS {c}__noise" for c in columns]
+    doubled = rows.selectExpr("*", *drawn).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    shaken = [f"CAST({c} AS DOUBLE) + CASE WHEN copy = 0 THEN 0D ELSE {c}__noise END AS {c}" for c in columns]
     return doubled.selectExpr("hotel_id", "date", "copy", *shaken)
 
 
