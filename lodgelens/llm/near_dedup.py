@@ -199,18 +199,19 @@ class PathJoin:
         return nodes.where(F.col("n") > LEAF).select("node", "rep")
 
     def alike(self, lists: DataFrame) -> DataFrame:
-        """The parts of document lists that sketches connect which may reach the similarity, stored."""
+        """The parts of document lists that sketches connect which may reach the similarity, and the bytes of their
+        documents' full sets, stored."""
         share = self.similarity[0] / self.similarity[1]
         least = (share - SLACK * (share * (1 - share) / SKETCH) ** 0.5) * SKETCH
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found, begin = [], 0
+                found, sizes, begin = [], [], 0
                 rows = batch.column(0).flatten()
-                reps = rows.field("rep").to_numpy()
+                reps, size = rows.field("rep").to_numpy(), rows.field("size").to_numpy()
                 sketches = rows.field("sketch").flatten().to_numpy().reshape(-1, SKETCH)
                 for length in batch.column(0).value_lengths().to_pylist():
-                    ids, own = reps[begin : begin + length], sketches[begin : begin + length]
+                    ids, own, held = (x[begin : begin + length] for x in (reps, sketches, size))
                     begin += length
                     part = np.arange(length)
                     for i, j in spanning_links(
@@ -220,25 +221,28 @@ class PathJoin:
                     order = np.argsort(part, kind="stable")
                     for members in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                         if len(members) > 1:
-                            found.append(np.unique(ids[members]).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["reps"])
+                            several, first = np.unique(ids[members], return_index=True)
+                            found.append(several.tolist())
+                            sizes.append(8 * int(held[members][first].sum()))
+                columns = [pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["reps", "bytes"])
 
-        met = self.members(lists, self.reps.select("rep", "sketch"), "sketch")
-        return self.put(met.mapInArrow(run, "reps array<long>").where(F.size("reps") > 1).distinct(), "alike")
+        met = self.members(lists, self.reps.select("rep", "sketch", "size"))
+        return self.put(met.mapInArrow(run, "reps array<long>, bytes long").where(F.size("reps") > 1).distinct(), "alike")
 
-    def members(self, lists: DataFrame, table: DataFrame, value: str, bounded: bool = False) -> DataFrame:
-        """Every list with its documents' ``value`` (one column, an array of structs of at most LEAF documents).
+    def members(self, lists: DataFrame, table: DataFrame, long: bool = False) -> DataFrame:
+        """Every list with its documents' columns of ``table`` (one column, an array of structs of at most LEAF documents).
 
-        ``bounded`` lists are cut into blocks by the bytes of their documents' full sets, and every pair of blocks is a
+        ``long`` lists are cut into blocks by the bytes of their documents' full sets, and every pair of blocks is a
         list of its own, so that no task gathers more than LIST_BYTES and two sets.
         """
-        numbered = self.put(lists.withColumn("list", F.monotonically_increasing_id()), "lists")
+        numbered = self.put(lists.select("reps").withColumn("list", F.monotonically_increasing_id()), "lists")
         rows = numbered.select("list", F.explode("reps").alias("rep"))
         keys = ["list"]
-        if bounded:
+        if long:
             rows, keys = self.paired(rows), ["list", "one", "two"]
         found = rows.join(grows(table), "rep").groupBy(*keys)
-        return found.agg(F.collect_list(F.struct("rep", value)).alias("members")).select("members")
+        return found.agg(F.collect_list(F.struct(*table.columns)).alias("members")).select("members")
 
     def paired(self, rows: DataFrame) -> DataFrame:
         """(list, rep) once per pair of blocks ``one``, ``two`` that the document's block takes part in."""
@@ -274,7 +278,11 @@ class PathJoin:
                     [pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"]
                 )
 
-        return self.members(lists, sets, "tokens", bounded=True).mapInArrow(run, "a long, b long").where("a <> b")
+        compared = self.members(lists.where(F.col("bytes") <= LIST_BYTES), sets)
+        long = lists.where(F.col("bytes") > LIST_BYTES)
+        if not long.isEmpty():
+            compared = compared.unionByName(self.members(long, sets, long=True))
+        return compared.mapInArrow(run, "a long, b long").where("a <> b")
 
     def with_leader(self, rows: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
         """Links of the documents of large nodes with one of them, on full sets."""
@@ -318,7 +326,7 @@ class PathJoin:
             nodes = self.branch(rest.join(grows(sketches), "rep"))
             found.append(self.alike(self.leaves(nodes)))
             rest, depth = self.large(nodes), depth + 1
-        links.append(self.put(self.verified(union(found).distinct(), sets), "links"))
+        links.append(self.put(self.verified(self.put(union(found).distinct(), "found"), sets), "links"))
         return union(links).distinct()
 
     def unconnected(self, rows: DataFrame, parts: DataFrame) -> DataFrame:
@@ -343,8 +351,11 @@ class PathJoin:
         paired = blocked.select("node", "rep", "block", other.alias("other")).select(
             "node", "rep", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
         )
-        lists = paired.groupBy("node", "one", "two").agg(F.array_sort(F.collect_set("rep")).alias("reps"))
-        return self.put(lists.where(F.size("reps") > 1).select("reps").distinct(), "blocks")
+        sized = paired.join(grows(self.reps.select("rep", "size")), "rep")
+        lists = sized.groupBy("node", "one", "two").agg(
+            F.array_sort(F.collect_set("rep")).alias("reps"), (8 * F.sum("size")).alias("bytes")
+        )
+        return self.put(lists.where(F.size("reps") > 1).select("reps", "bytes").distinct(), "blocks")
 
 
 def union(frames: list[DataFrame]) -> DataFrame:

@@ -423,8 +423,8 @@ def test_lists_of_long_near_copies_are_compared_in_bounded_blocks(spark, monkeyp
     assert got == {**dict.fromkeys(range(12), 0), 50: 50}
     store = near_dedup.StoredTables(spark, "test-blocks")
     join = near_dedup.PathJoin(docs, 5, (85, 100), 2, store)
-    lists = spark.createDataFrame([(list(range(12)),)], "reps array<long>")
+    lists = spark.createDataFrame([(list(range(12)), 12 * 16_000)], "reps array<long>, bytes long")
     sets = near_dedup.shingle_sets(docs, spark.range(12).withColumnRenamed("id", "rep"))
-    found = [[m["rep"] for m in r["members"]] for r in join.members(lists, sets, "tokens", bounded=True).collect()]
+    found = [[m["rep"] for m in r["members"]] for r in join.members(lists, sets, long=True).collect()]
     assert max(len(f) for f in found) <= 40_000 // 16_000 + 2 < 12
     assert {(a, b) for f in found for a in f for b in f} == {(a, b) for a in range(12) for b in range(12)}
