@@ -177,6 +177,10 @@ def _decided(rounded: DataFrame) -> DataFrame:
     return rounded.select("source_no", F.explode("done").alias("d")).select("source_no", "d.unit", "d.taken")
 
 
+def _source_number() -> Column:
+    return F.xxhash64("source", F.col("source").isNull())
+
+
 def mix_sources(
     docs: DataFrame,
     share: float = SHARE,
@@ -199,7 +203,8 @@ def mix_sources(
         F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash")).alias("unit"),
         word_count(text_of()).alias("size"),
     )
-    sizes = rows.groupBy("source").agg(
+    measured = store.put(rows.select("source", "unit", "size"), "measured")  # texts are counted here, and nowhere else
+    sizes = measured.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")
     )
     rates = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
@@ -207,12 +212,12 @@ def mix_sources(
         source_targets(sizes, share, most, weights)
         .withColumn("rate", rates)
         .withColumns(
-            {"source_no": F.xxhash64("source", F.col("source").isNull()), "whole": F.floor("rate"), "p": F.col("rate") - F.floor("rate")}
+            {"source_no": _source_number(), "whole": F.floor("rate"), "p": F.col("rate") - F.floor("rate")}
         ),
         "targets",
     )
     named = targets.withColumnRenamed("source", "source_name")
-    placed = rows.join(named, F.col("source").eqNullSafe(F.col("source_name")), "left").drop("source", "source_name")
+    placed = measured.join(named, F.col("source").eqNullSafe(F.col("source_name")), "left").drop("source", "source_name")
     open_units = (
         placed.where("p > 0 AND size > 0")
         .groupBy("source_no", "unit", "size", "p", "documents", "source_size")
@@ -227,14 +232,15 @@ def mix_sources(
     most_documents = targets.agg(F.max("documents").alias("most")).first()["most"] or 0
     rounded = round_copies(small.where("p > 0 AND p < 1"), most_documents, store)
     taken = store.put(rounded.unionByName(whole).unionByName(_decided(large)), "taken")
-    joined = placed.alias("d").join(grows(taken).alias("t"), ["source_no", "unit"], "left")
-    return joined.select(
-        "row.*",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.coalesce("taken", F.lit(0))).cast("long").alias("copies"),
+    once = placed.select("source_no", "unit", "size", "source_size", "target", "whole").distinct()
+    copies = (F.col("whole") + F.coalesce("taken", F.lit(0))).cast("long").alias("copies")
+    decisions = store.put(
+        once.join(grows(taken), ["source_no", "unit"], "left").select("source_no", "unit", "size", "source_size", "target", copies),
+        "decisions",
     )
+    asking = rows.select("row", "unit", _source_number().alias("source_no"))
+    joined = asking.join(grows(decisions), ["source_no", "unit"], "left")
+    return joined.select("row.*", "size", "source_size", "target", "copies")
 
 
 def take_copies(docs: DataFrame, **settings) -> DataFrame:
