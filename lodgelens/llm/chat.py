@@ -79,7 +79,8 @@ def format_conversations(
     of the first role that may not follow what stands before it, null if there is none; ``valid`` also asks that the
     last role is a final one.  Conversations out of order are formatted all the same.  Null texts and roles are empty;
     rows with a null key are one conversation; turns with equal order numbers go by role, then text; null order
-    numbers come first.  Further columns are ignored, and an empty table gives no rows.
+    numbers come first.  Further columns are ignored, and an empty table gives no rows.  A conversation,
+    with its marks, has to fit into one row (2 GB).
     """
     turn = F.struct(
         F.col(order).alias("at"),

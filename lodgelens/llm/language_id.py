@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from lodgelens.llm.common import others, quoted, text_of
 
 DIMENSIONS = 1024
-MAX_LANGUAGES = 10_000
+LETTERS = 20_000  # letter vectors that a task keeps (a byte per dimension); further ones are made again when needed
+MAX_LANGUAGES = 10_000  # prototypes are broadcast: at most 80 MB
 SHARPNESS = 20.0
 CHUNK = 1 << 19
 UNKNOWN = "und"
@@ -36,10 +37,14 @@ class TrigramEncoder:
         self.is_letter = np.zeros(0x110000, dtype=np.int8)  # 1 letter, -1 other, 0 not seen yet
 
     def vector(self, code: int) -> np.ndarray:
-        if code not in self.letter:
+        found = self.letter.get(code)
+        if found is None:
             random = np.random.Generator(np.random.PCG64([self.seed, code]))
-            self.letter[code] = (random.integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1).astype(np.float32)
-        return self.letter[code]
+            found = random.integers(0, 2, self.dimensions, dtype=np.int8) * np.int8(2) - np.int8(1)
+            if len(self.letter) >= LETTERS:
+                self.letter.clear()
+            self.letter[code] = found
+        return found
 
     def codes(self, text: str) -> np.ndarray:
         """Lower-case letters as code points, every run of other characters as one blank, a blank at both ends."""
@@ -72,7 +77,7 @@ class TrigramEncoder:
             owners.append(np.full(len(key), row, dtype=np.int64))
         key, owner = np.concatenate(keys), np.concatenate(owners)
         grams, gram = np.unique(key, return_inverse=True)
-        base = np.stack([self.vector(int(c)) for c in alphabet])
+        base = np.stack([self.vector(int(c)) for c in alphabet]).astype(np.float32)
         first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
         for low in range(0, len(grams), 8192):  # bounds the gram vectors at once
             part = grams[low : low + 8192]
@@ -148,19 +153,20 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], carry:
 
     ``score`` is the share of the best language in a softmax over the cosines.  A text that is null or has no letter,
     and any text where nothing was learned, gets ``und`` and 0; a text with fewer than three characters still has the
-    trigram of its letters and the blanks around them.  Equal cosines go to the first language in order.  Input columns
-    named like a result are replaced.
+    trigram of its letters and the blanks around them.  Equal cosines go to the first language in order.  Repeated rows
+    are judged each; an empty table gives no rows.  Input columns named like a result are replaced.
     """
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in names]) if names else None
-    dimensions = 0 if matrix is None else matrix.shape[1]
+    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
     held = {}
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         guess, score = np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text))
+        names, matrix = shared.value
         if matrix is not None:
-            encoder = held.setdefault("encoder", TrigramEncoder(dimensions))
+            encoder = held.setdefault("encoder", TrigramEncoder(matrix.shape[1]))
             texts = text.tolist()
             for at in range(0, len(texts), 256):
                 vectors, lettered = encoder.encode(texts[at : at + 256])

@@ -129,7 +129,7 @@ def score_quality(
 
     ``train`` says which rows of ``docs`` may be learned from; their labels are those of ``labels`` with the same
     doc_id (several count each, null ones not at all).  A null text is empty and gets a score like any other.  Rows
-    that repeat an id are scored each.  Input columns named like a result are replaced.
+    that repeat an id are scored each; an empty table gives no rows.  Input columns named like a result are replaced.
     """
     store = StoredTables(docs.sparkSession, "quality")
     names = list(statistics(F.lit("")))
