@@ -84,6 +84,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROW_GROUP = 64 << 20  # bytes that a task holds back before it writes them
+
+
 class StoredTables:
     """Intermediate tables as Parquet in the shared folder, so that a lost executor costs no recomputation.
 
@@ -97,7 +100,9 @@ class StoredTables:
 
     def put(self, df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
         """``by`` names columns that get a folder per value, ``label/column=value``, which can be dropped by itself."""
-        df.write.partitionBy(*by).parquet(f"{self.folder}/{label}")
+        # several files are open at a time where there are folders by value, so each buffers less
+        writer = df.write.option("parquet.block.size", ROW_GROUP // 4 if by else ROW_GROUP)
+        writer.partitionBy(*by).parquet(f"{self.folder}/{label}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
 
     def read_by(self, df: DataFrame) -> bool:
