@@ -313,7 +313,7 @@ def stirling(discount: float, size: int = DRAWN_CUSTOMERS) -> np.ndarray:
 class Cells:
     """Numbers of tables of cells with at least two customers, and Gibbs sweeps over them."""
 
-    AT_ONCE = 1 << 21  # numbers of a matrix of weights
+    AT_ONCE = 1 << 18  # numbers of a matrix of weights
 
     def __init__(self, customers: np.ndarray, random: np.random.Generator):
         self.customers, self.random = customers, random
