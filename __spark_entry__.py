@@ -39,7 +39,7 @@ from lodgelens.plans import (  # noqa: E402
 )
 from lodgelens.session import StoredTables, configure, cut_lineage  # noqa: E402
 from lodgelens.sources import many_csv, store  # noqa: E402
-from lodgelens.sources.sample_views import RAW_VIEWS, load_raw, load_views  # noqa: E402
+from lodgelens.sources.sample_views import RAW_VIEWS, VIEWS, WHOLE_VIEWS, load_raw, load_views  # noqa: E402
 from lodgelens.tables import HotelTables  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -63,9 +63,9 @@ def _rounded(df: DataFrame, digits: int) -> DataFrame:
     return df.select(*[shown(f) for f in df.schema])
 
 
-def _query(analysis: Analysis, digits: int = 6) -> Query:
+def _query(analysis: Analysis, digits: int = 6, views: dict[str, str] = VIEWS) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(analysis(load_views(configure(spark), sf_dir)), digits)
+        return _rounded(analysis(load_views(configure(spark), sf_dir, views)), digits)
 
     return run
 
@@ -173,7 +173,7 @@ ANALYSES: dict[str, Query] = {
     "segment_revenue": _query(segments.segment_revenue),
     "segment_top3": _query(segments.segment_top),
     "revenue_totals": _query(segments.revenue_totals),
-    "campaign_by_segment": _query(segments.campaign_by_segment),
+    "campaign_by_segment": _query(segments.campaign_by_segment, views=WHOLE_VIEWS),
     "top_campaigns": _query(segments.top_campaigns),
     "campaign_summary": _query(segments.campaign_summary),
     "room_choice_by_segment": _query(rooms.room_choice_by_segment),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from lodgelens.plans.daily import FEATURES, LAGS, SCALED, SERIES, WINDOWS
 from lodgelens.schema import CURRENCIES, PPC_PAIRS, PPC_SOURCES, SEGMENTS, TABLE_NAMES
-from lodgelens.sources.sample_views import VIEW_COLUMNS, raw_sql, with_views
+from lodgelens.sources.sample_views import VIEW_COLUMNS, VIEWS, WHOLE_VIEWS, raw_sql, with_views
 
 _IN_CURRENCIES = "currency in (" + ", ".join(f"'{c}'" for c in CURRENCIES) + ")"
 _PAIRS = ", ".join(f"'{p}'" for p in PPC_PAIRS)
@@ -796,6 +796,8 @@ _AS_TEXT = {
     "ts_folds": ("first_date", "last_date"),
     "load_daily_visitors": ("date",),
 }
+# Queries over the tables that leave nothing out.
+_WHOLE = {"campaign_by_segment"}
 _RANKED = ("segment_top3", "top_campaigns", "top_bookers", "price_diff_top5", "feature_selection")
 
 
@@ -806,4 +808,6 @@ def _shown(name: str, text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _shown(name, with_views(text)) for name, text in _TEXTS.items()}
+    return {
+        name: _shown(name, with_views(text, WHOLE_VIEWS if name in _WHOLE else VIEWS)) for name, text in _TEXTS.items()
+    }
