@@ -177,7 +177,7 @@ ANALYSES: dict[str, Query] = {
     "top_campaigns": _query(segments.top_campaigns),
     "campaign_summary": _query(segments.campaign_summary),
     "room_choice_by_segment": _query(rooms.room_choice_by_segment),
-    "room_choice_by_source": _query(rooms.room_choice_by_source),
+    "room_choice_by_source": _query(rooms.room_choice_by_source, views=WHOLE_VIEWS),
     "room_choice_by_source_and_currency": _query(rooms.room_choice_by_source_and_currency),
     "room_avg_price": _query(rooms.room_avg_price),
     "ppc_daily_traffic": _query(ppc.ppc_daily_traffic),

@@ -50,3 +50,9 @@ def test_campaigns_count_every_booking(rows_of):
     found = rows_of("campaign_by_segment")
     assert sum(r["bookings"] for r in found) == N
     assert "(not set)" not in {r["utm_campaign"] for r in found}
+
+
+def test_rooms_by_source_count_every_paid_booking(rows_of):
+    keys = [(block * 100 + i, block % 3 + 1) for block in range(6) for i in range(60)]
+    paid = sum((2 * key + hotel) % 4 != 0 for key, hotel in keys)  # the others came by an organic search
+    assert sum(r["room_rows"] for r in rows_of("room_choice_by_source")) == paid
