@@ -181,7 +181,7 @@ ANALYSES: dict[str, Query] = {
     "room_choice_by_source_and_currency": _query(rooms.room_choice_by_source_and_currency),
     "room_avg_price": _query(rooms.room_avg_price),
     "ppc_daily_traffic": _query(ppc.ppc_daily_traffic),
-    "ppc_daily_spend": _query(ppc.ppc_daily_spend),
+    "ppc_daily_spend": _query(ppc.ppc_daily_spend, views=WHOLE_VIEWS),
     "ppc_conversions": _query(ppc.ppc_conversions),
     "ppc_bookings_by_segment": _query(ppc.ppc_bookings_by_segment),
     "ppc_revenue_by_segment": _query(ppc.ppc_revenue_by_segment),

@@ -56,3 +56,8 @@ def test_rooms_by_source_count_every_paid_booking(rows_of):
     keys = [(block * 100 + i, block % 3 + 1) for block in range(6) for i in range(60)]
     paid = sum((2 * key + hotel) % 4 != 0 for key, hotel in keys)  # the others came by an organic search
     assert sum(r["room_rows"] for r in rows_of("room_choice_by_source")) == paid
+
+
+def test_spend_of_every_day(rows_of):
+    found = rows_of("ppc_daily_spend")
+    assert len(found) == 3 * N and len({r["date"] for r in found}) == 120
