@@ -191,7 +191,7 @@ ANALYSES: dict[str, Query] = {
     "upsell_revenue": _query(upsell.upsell_revenue),
     "upsell_revenue_tiers": _query(upsell.upsell_revenue_tiers),
     "upsell_revenue_tiers_all": _query(lambda t: upsell.upsell_revenue_tiers(t, all_products=True)),
-    "visits_before_booking": _query(visits.visits_before_booking),
+    "visits_before_booking": _query(visits.visits_before_booking, views=WHOLE_VIEWS),
     "visits_distribution": _query(visits.visits_distribution),
     "visits_summary": _query(visits.visits_summary),
     "visits_overall": _query(visits.visits_overall),

@@ -61,3 +61,10 @@ def test_rooms_by_source_count_every_paid_booking(rows_of):
 def test_spend_of_every_day(rows_of):
     found = rows_of("ppc_daily_spend")
     assert len(found) == 3 * N and len({r["date"] for r in found}) == 120
+
+
+def test_visits_of_every_booker(rows_of):
+    keys = [(block * 100 + i, block % 3 + 1) for block in range(6) for i in range(60)]
+    bookers = {(hotel, f"u{2 * key}") for key, hotel in keys}
+    found = rows_of("visits_before_booking")
+    assert {(r["hotel_id"], r["uuid"]) for r in found} == bookers and len(found) == N
