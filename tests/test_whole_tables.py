@@ -68,3 +68,9 @@ def test_visits_of_every_booker(rows_of):
     bookers = {(hotel, f"u{2 * key}") for key, hotel in keys}
     found = rows_of("visits_before_booking")
     assert {(r["hotel_id"], r["uuid"]) for r in found} == bookers and len(found) == N
+
+
+def test_daily_figures_of_every_day(rows_of):
+    found = [r for r in rows_of("daily_metrics") if r["bookings"]]
+    assert sum(r["bookings"] for r in found) == N
+    assert sum(r["occupancy_rate"] == 100 for r in found) == N
