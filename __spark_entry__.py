@@ -221,7 +221,7 @@ ANALYSES: dict[str, Query] = {
     "scaled_features": _query(daily.scaled_features, digits=5),
     "augmented_features": _query(lambda t: daily.scaled_features(t, seed=occupancy.SEED), digits=5),
     "daily_metrics": _query(monitor.daily_metrics, views=WHOLE_VIEWS),
-    "model_metrics": _query(lambda t: monitor.model_metrics(_naive_predictions(t))),
+    "model_metrics": _query(lambda t: monitor.model_metrics(_naive_predictions(t)), views=WHOLE_VIEWS),
     "metric_history": _query(_history),
     "monthly_sketches": _query(_monthly_sketches),
     "residual_histogram": _query(lambda t: monitor.residual_histogram(_naive_predictions(t))),

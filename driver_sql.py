@@ -797,7 +797,10 @@ _AS_TEXT = {
     "load_daily_visitors": ("date",),
 }
 # Queries over the tables that leave nothing out.
-_WHOLE = {"campaign_by_segment", "room_choice_by_source", "ppc_daily_spend", "visits_before_booking", "daily_metrics"}
+_WHOLE = {
+    "campaign_by_segment", "room_choice_by_source", "ppc_daily_spend", "visits_before_booking", "daily_metrics",
+    "model_metrics",
+}
 _RANKED = ("segment_top3", "top_campaigns", "top_bookers", "price_diff_top5", "feature_selection")
 
 

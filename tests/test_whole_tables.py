@@ -74,3 +74,7 @@ def test_daily_figures_of_every_day(rows_of):
     found = [r for r in rows_of("daily_metrics") if r["bookings"]]
     assert sum(r["bookings"] for r in found) == N
     assert sum(r["occupancy_rate"] == 100 for r in found) == N
+
+
+def test_metrics_over_every_day_with_a_prediction(rows_of):
+    assert {r["hotel_id"]: r["n"] for r in rows_of("model_metrics")} == dict.fromkeys((1, 2, 3), 120 - 7)
