@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodgelens.functions.columns import ratio
 from lodgelens.schema import TABLE_NAMES
-from lodgelens.session import cut_lineage
+from lodgelens.session import cut_lineage, input_bytes, small_tasks
 from lodgelens.tables import HotelTables
 
 
@@ -63,6 +63,8 @@ def base_stats(t: HotelTables) -> DataFrame:
 
 
 FEW_FINGERPRINTS = 1_000_000  # repeated ones up to this number (16 MB) are broadcast
+TASK_BYTES = 16 << 20  # of a file or a shuffle, read by a task that groups fingerprints: about two million rows
+SHUFFLED = 4  # bytes of fingerprints for a byte of the files, at most: they do not compress, the columns do
 
 
 def fingerprint(columns: list[Column]) -> Column:
@@ -79,15 +81,17 @@ def data_quality(
 
     Exact in two phases.  The first groups fingerprints, not rows, of all tables in one exchange, and stores those that
     occur more than once, and one row of sums for all others.  The second fetches the rows with repeated fingerprints
-    and counts equal ones in full; a table without any is not read again.
+    and counts equal ones in full; a table without any is not read again.  Nearly every fingerprint is a group of its
+    own, so the first phase runs in tasks of bounded bytes, as many as the files are large.
     """
     merged = reduce(DataFrame.unionByName, [_fingerprints(t[name], name, hashed) for name in tables])
     single = merged.groupBy("table_name", "hotel_id", "_hash").agg(F.count(F.lit(1)).alias("_n"), F.sum("_missing").alias("_missing"))
-    folded = cut_lineage(
-        single.groupBy("table_name", "hotel_id", F.when(F.col("_n") > 1, F.col("_hash")).alias("_hash")).agg(
-            F.sum("_n").alias("_n"), F.sum("_missing").alias("_missing")
-        )
+    folded = single.groupBy("table_name", "hotel_id", F.when(F.col("_n") > 1, F.col("_hash")).alias("_hash")).agg(
+        F.sum("_n").alias("_n"), F.sum("_missing").alias("_missing")
     )
+    files = input_bytes(t[name] for name in tables)
+    with small_tasks(merged.sparkSession, SHUFFLED * files, TASK_BYTES):
+        folded = cut_lineage(folded)
     repeated = folded.where(F.col("_hash").isNotNull())
     sizes = {r["table_name"]: r["n"] for r in repeated.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = folded.groupBy("table_name", "hotel_id").agg(

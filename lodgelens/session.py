@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,40 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int, partition_bytes: int
     return partitions
 
 
+def input_bytes(frames: Iterable[DataFrame]) -> int:
+    """Size of the files that the DataFrames read, each counted once; 0 for rows that come from no file."""
+    readers = {file: frame.sparkSession for frame in frames for file in frame.inputFiles()}
+
+    def size(file: str, spark: SparkSession) -> int:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+
+    return sum(size(file, spark) for file, spark in readers.items())
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession, shuffled_bytes: int, task_bytes: int) -> Iterator[None]:
+    """While jobs run in this block, a task reads at most about ``task_bytes`` of a file or a shuffle, however large these are.
+
+    For aggregates with nearly as many groups as rows, whose hash tables take many times the compressed bytes read.
+    Smaller sizes that the session sets stay (Spark's own are 128 and 64 MB).
+    """
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {key: spark.conf.get(key, None) for key in (*sizes, "spark.sql.adaptive.coalescePartitions.initialPartitionNum")}
+    as_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    try:
+        for key in sizes:
+            spark.conf.set(key, str(min(task_bytes, as_bytes(before[key])) if before[key] else task_bytes))
+        size_shuffles(spark, shuffled_bytes, task_bytes)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (

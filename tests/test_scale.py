@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from conftest import TESTDATA
 from lodgelens.operators.segments import with_stored_segment
 from lodgelens.plans import leadtime, profile, rooms, segments, upsell, visits
-from lodgelens.session import size_shuffles
+from lodgelens.session import size_shuffles, small_tasks
 from lodgelens.sources import store
 from lodgelens.sources.sample_views import load_views
 from lodgelens.tables import HotelTables
@@ -82,6 +82,46 @@ def test_data_quality_shuffles_hashes_not_rows(no_broadcast):
     assert "Scan parquet" not in text
 
 
+def settings(spark):
+    sizes = ("files.maxPartitionBytes", "adaptive.advisoryPartitionSizeInBytes", "adaptive.coalescePartitions.initialPartitionNum")
+    return [spark.conf.get(f"spark.sql.{s}", None) for s in sizes]
+
+
+@pytest.mark.parametrize("files", [4, 16])
+def test_fingerprints_are_grouped_in_tasks_of_bounded_bytes(spark, make_table, tmp_path, monkeypatch, files):
+    """Four times the rows make four times the tasks, not larger ones; the session's settings come back."""
+    empty = make_table("daily_occupancy", [])
+    values = {"hotel_id": F.col("id") % 3, "fill_rate": F.rand(7)}
+    rows = spark.range(files * 100_000).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema])
+    rows.repartition(files).write.parquet(str(tmp_path / "days"))
+    table = spark.read.parquet(str(tmp_path / "days"))
+    groups, kept = [], profile.cut_lineage
+
+    def spied(df):
+        dealt = table.groupBy("fill_rate").count().groupBy(F.spark_partition_id()).count()
+        groups.extend(r["count"] for r in dealt.collect())
+        return kept(df)
+
+    monkeypatch.setattr(profile, "cut_lineage", spied)
+    monkeypatch.setattr(profile, "TASK_BYTES", 1 << 20)
+    before = settings(spark)
+    found = profile.data_quality(HotelTables.of({"daily_occupancy": table}), ("daily_occupancy",)).collect()
+    assert sum(r["row_count"] for r in found) == files * 100_000
+    assert max(groups) < 250_000
+    assert settings(spark) == before
+
+
+def test_small_tasks_keep_smaller_sizes(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "8k")
+    try:
+        with small_tasks(spark, 1, 1 << 20):
+            assert (spark.conf.get(key), spark.conf.get("spark.sql.files.maxPartitionBytes")) == ("8192", str(1 << 20))
+        assert spark.conf.get(key) == "8k"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_hot_session_is_split(no_broadcast, make_table):
     """One session with most of all searches: the join that meets raw searches is split by adaptive execution."""
     spark = no_broadcast
