@@ -111,6 +111,20 @@ def test_fingerprints_are_grouped_in_tasks_of_bounded_bytes(spark, make_table, t
     assert settings(spark) == before
 
 
+@pytest.mark.parametrize("name", ["model_report"])
+def test_reports_group_fingerprints_in_small_tasks(spark, monkeypatch, name):
+    seen, kept = [], profile.cut_lineage
+
+    def spied(df):
+        seen.append(settings(spark)[:2])
+        return kept(df)
+
+    monkeypatch.setattr(profile, "cut_lineage", spied)
+    before = settings(spark)
+    assert entry.queries()[name](spark, TESTDATA).count() > 0
+    assert seen == [[str(16 << 20)] * 2] and settings(spark) == before
+
+
 def test_small_tasks_keep_smaller_sizes(spark):
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     spark.conf.set(key, "8k")
