@@ -111,7 +111,7 @@ def test_fingerprints_are_grouped_in_tasks_of_bounded_bytes(spark, make_table, t
     assert settings(spark) == before
 
 
-@pytest.mark.parametrize("name", ["model_report"])
+@pytest.mark.parametrize("name", ["model_report", "report_fields"])
 def test_reports_group_fingerprints_in_small_tasks(spark, monkeypatch, name):
     seen, kept = [], profile.cut_lineage
 
